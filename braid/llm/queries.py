@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from braid.llm import minhash, suffix_dedup
+from braid.llm import decontaminate, line_dedup, minhash, packing, sharding, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +20,73 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), [1.0] * 8).withColumn("law", F.lit("key"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+#: DuckDB's twin of op3: every window of ten words is compared as text.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0),
+t AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[p:p + 9], ' ') AS said FROM i),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+y AS (SELECT doc_id, w, p, unnest((SELECT coalesce(list(DISTINCT size), []) FROM t)) AS size FROM x),
+h AS (SELECT doc_id, p, t.size, item FROM y JOIN t ON t.size = y.size AND p + y.size - 1 <= len(w) AND said = array_to_string(w[p:p + y.size - 1], ' ')),
+n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+#: DuckDB's twin of op4: the first of each pair of consecutive lines, and the lines of all later ones.
+OP4_SQL = """
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM s),
+k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare FROM l),
+n AS (SELECT doc_id, i, bare, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM k WHERE bare <> ''),
+w AS (SELECT doc_id, p, bare AS a, lead(bare) OVER (PARTITION BY doc_id ORDER BY p) AS b FROM n),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, p) AS place FROM w WHERE b IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest([p, p + 1]) AS p FROM f WHERE place > 1),
+r AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM g),
+c AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE q IS NULL OR q < p - 1) AS n_runs FROM r GROUP BY doc_id),
+t AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS kept FROM l LEFT JOIN n ON n.doc_id = l.doc_id AND n.i = l.i LEFT JOIN g ON g.doc_id = n.doc_id AND g.p = n.p WHERE g.p IS NULL GROUP BY l.doc_id),
+m AS (SELECT doc_id, count(*) AS n_lines FROM n GROUP BY doc_id)
+SELECT s.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
+FROM s LEFT JOIN c ON c.doc_id = s.doc_id LEFT JOIN t ON t.doc_id = s.doc_id LEFT JOIN m ON m.doc_id = s.doc_id
+"""
+
+
 def queries() -> dict:
-    return {"op7_minhash": op7_minhash, "op9_suffix_dedup": op9_suffix_dedup}
+    return {
+        "op3_decontaminate": op3_decontaminate,
+        "op4_line_dedup": op4_line_dedup,
+        "op6_packing": op6_packing,
+        "op7_minhash": op7_minhash,
+        "op8_sharding": op8_sharding,
+        "op9_suffix_dedup": op9_suffix_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontaminate": OP3_SQL, "op4_line_dedup": OP4_SQL}
