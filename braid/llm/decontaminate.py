@@ -14,28 +14,29 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GRAM = 5
+#: A word is a run of characters other than ASCII ones that are neither letter nor digit.
+_BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+GRAM = 3
 #: Benchmark windows up to this number are broadcast; more are joined by shuffling hashes.
 BROADCAST_WINDOWS = 200_000
 
 
 def words(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """The words of a text, A-Z lower-cased. One pass lower-cases and blanks what isn't in a word; one splits."""
+    text = F.trim(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase + _BETWEEN, string.ascii_lowercase + " " * len(_BETWEEN)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " +"))
 
 
-def _steps(n: Column) -> Column:
-    """0 .. n-1; empty if n isn't positive."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+def hashed(df: DataFrame, width: int) -> DataFrame:
+    """Adds ``grams``: the hash of the words that start at each place."""
+    size = min(GRAM, width)
+    return df.withColumn("grams", F.transform("words", lambda w, i: F.xxhash64(w, *[F.get("words", i + j) for j in range(1, size)])))
 
 
-def winnowed(df: DataFrame, width: int) -> DataFrame:
-    """Adds ``least``: for each window of ``width`` words, the least of its grams' hashes."""
-    size, span = min(GRAM, width), width - min(GRAM, width) + 1
-    grams = F.transform(_steps(F.size("words") - (size - 1)), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(size)]))
-    least = F.transform(_steps(F.size("words") - (width - 1)), lambda i: F.least(*[F.get("grams", i + j) for j in range(span)]) if span > 1 else F.get("grams", i))
-    return df.withColumn("grams", grams).withColumn("least", least).drop("grams")
+def winnowed(i: Column, width: int) -> Column:
+    """The least hash of the grams in the window of ``width`` words that starts at place i."""
+    span = width - min(GRAM, width) + 1
+    return F.least(*[F.get("grams", i + j) for j in range(span)]) if span > 1 else F.get("grams", i)
 
 
 def _said(at: Column | str, size: Column | int) -> Column:
@@ -44,9 +45,10 @@ def _said(at: Column | str, size: Column | int) -> Column:
 
 def _windows(benchmark: DataFrame, width: int) -> DataFrame:
     """size, h, said, items: each distinct window and the items that have it."""
-    item = winnowed(benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("words")).where(F.size("words") > 0), width)
+    item = hashed(benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("words")).where(F.size("words") > 0), width)
     # outer, as Spark would else add a filter that evaluates the arrays once more, nested
-    long = item.where(F.size("words") >= width).select("item", F.posexplode_outer("least").alias("i", "h"), "words").select("item", F.lit(width).alias("size"), "h", _said("i", width).alias("said"))
+    long = item.where(F.size("words") >= width).select("item", "words", "grams", F.posexplode_outer("words").alias("i", "w")).where(F.col("i") + width <= F.size("words"))
+    long = long.select("item", F.lit(width).alias("size"), winnowed(F.col("i"), width).alias("h"), _said("i", width).alias("said"))
     short = item.where(F.size("words") < width).select("item", F.size("words").alias("size"), F.array_join("words", " ").alias("said")).select("item", "size", F.xxhash64("said").alias("h"), "said")
     return long.union(short).groupBy("size", "h", "said").agg(F.collect_set("item").alias("items"))
 
@@ -82,11 +84,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadc
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     near = n <= broadcast_windows
     base = base.withColumn("row", F.monotonically_increasing_id() if near else F.xxhash64("doc_id", "text"))
-    read = winnowed(base.select("doc_id", "row", words(F.col("text")).alias("words")), width)
-    every = read.select("doc_id", "row", F.size("words").alias("n_words"), "words", "least", F.posexplode_outer("words").alias("i", "w"))
+    read = hashed(base.select("doc_id", "row", words(F.col("text")).alias("words")), width)
+    every = read.select("doc_id", "row", F.size("words").alias("n_words"), "words", "grams", F.posexplode_outer("words").alias("i", "w"))
     size = F.explode(F.array(F.lit(width), *[F.lit(s) for s in sorted(short)])) if short else F.lit(width)
-    at = every.select("doc_id", "row", "n_words", "words", "i", "least", size.alias("size"))
-    key = F.get("least", F.col("i"))
+    at = every.select("doc_id", "row", "n_words", "words", "i", "grams", size.alias("size"))
+    key = F.when(F.col("i") + width <= F.col("n_words"), winnowed(F.col("i"), width))
     if short:
         key = F.when(F.col("size") == width, key).when(F.col("i") + F.col("size") <= F.col("n_words"), F.xxhash64(_said("i", F.col("size"))))
     at = at.withColumn("h", key)
