@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braid.llm import decontaminate, line_dedup, minhash, packing, sharding, suffix_dedup
+from braid.llm import decontaminate, langid, line_dedup, minhash, packing, quality, sharding, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,23 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def _fold(folds: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(_fold(4) != 2)
+    scores = quality.quality_scores(_table(spark, sf_dir, "documents"), labels)
+    return scores.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(_fold(5) != 0))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -79,6 +96,8 @@ FROM s LEFT JOIN c ON c.doc_id = s.doc_id LEFT JOIN t ON t.doc_id = s.doc_id LEF
 
 def queries() -> dict:
     return {
+        "op1_quality": op1_quality,
+        "op10_langid": op10_langid,
         "op3_decontaminate": op3_decontaminate,
         "op4_line_dedup": op4_line_dedup,
         "op6_packing": op6_packing,
