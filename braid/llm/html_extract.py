@@ -12,6 +12,7 @@ labels of parent and children) from the labelled pages of ``html_pages``.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from functools import lru_cache
 
@@ -223,21 +224,27 @@ def fit(pages: list[str], ridge: float = 0.5, steps: int = 25) -> tuple[np.ndarr
     return w[:-3], np.array([[0.0, w[-3]], [w[-2], w[-1]]])
 
 
-def marginals(nodes: list[Node], weights: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _passed(odds: float, zero: float, one: float, zero_if_content: float, one_if_content: float) -> float:
+    """Log-odds that a message carries: the sender's log-odds summed out against the potentials of the edge."""
+    if odds > 40:
+        return one_if_content - one
+    if odds < -40:
+        return zero_if_content - zero
+    e = math.exp(odds)
+    return math.log((math.exp(zero_if_content) + math.exp(one_if_content) * e) / (math.exp(zero) + math.exp(one) * e))
+
+
+def marginals(nodes: list[Node], weights: np.ndarray, table: np.ndarray) -> list[float]:
     """Probability that each node is content: messages from the leaves to the root, then back."""
-    own = np.zeros((len(nodes), 2))
-    own[:, 1] = features(nodes) @ weights
-    gathered, sent = own.copy(), np.zeros_like(own)
+    belief = (features(nodes) @ weights).tolist()
+    (t00, t01), (t10, t11) = table.tolist()
+    sent = [0.0] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
-        sent[i] = np.logaddexp(table[:, 0] + gathered[i, 0], table[:, 1] + gathered[i, 1])
-        sent[i] -= sent[i].max()
-        gathered[nodes[i].parent] += sent[i]
-    belief = gathered
+        sent[i] = _passed(belief[i], t00, t01, t10, t11)
+        belief[nodes[i].parent] += sent[i]
     for i in range(1, len(nodes)):
-        above = belief[nodes[i].parent] - sent[i]
-        down = np.logaddexp(table[0] + above[0], table[1] + above[1])
-        belief[i] += down - down.max()
-    return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -50, 50)))
+        belief[i] += _passed(belief[nodes[i].parent] - sent[i], t00, t10, t01, t11)
+    return [1 / (1 + math.exp(-max(-50.0, min(50.0, b)))) for b in belief]
 
 
 @lru_cache(1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braid.llm import decontaminate, langid, line_dedup, minhash, packing, quality, sharding, suffix_dedup
+from braid.llm import decontaminate, html_extract, langid, line_dedup, minhash, mtree, packing, quality, sharding, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,23 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = mtree.integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return mtree.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+#: DuckDB's twin of op2: all inner products.
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+"""
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -98,8 +115,10 @@ def queries() -> dict:
     return {
         "op1_quality": op1_quality,
         "op10_langid": op10_langid,
+        "op2_mtree": op2_mtree,
         "op3_decontaminate": op3_decontaminate,
         "op4_line_dedup": op4_line_dedup,
+        "op5_html_extract": op5_html_extract,
         "op6_packing": op6_packing,
         "op7_minhash": op7_minhash,
         "op8_sharding": op8_sharding,
@@ -108,4 +127,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op2_mtree": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_line_dedup": OP4_SQL}
