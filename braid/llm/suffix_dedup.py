@@ -23,13 +23,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braid.llm.common import BLOCK_BYTES, blocks, bucket_of, census, joined_classes, materialize, prefix_hash, span_hash, string_buffers
+from braid.llm.common import blocks, bucket_of, census, joined_classes, materialize, mix, prefix_hash, span_hash, string_buffers
 
 GRAM = 20
 #: Words of 8 bytes that the multikey quicksort compares; beyond, the blind trie does.
 SHALLOW_WORDS = 4
-#: Bytes of text for each bucket of suffixes.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text in a block, and for each bucket of suffixes; suffixes that are sorted at once.
+BLOCK_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 1 << 20, 6 << 20, 400_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -83,11 +83,16 @@ def _open(row: dict, opener) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, np.concatenate(([0], np.cumsum(sizes))), np.frombuffer(row["ids"], np.int64)
 
 
+def _one_by_one(batch: pa.RecordBatch):
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _fingerprints(length: int):
     def run(batches):
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 data, offsets, _ = _open(row, opener)
                 _, place, h, _ = minimizers(data, offsets, length)
                 change = np.flatnonzero(np.diff(place, prepend=-1))
@@ -114,7 +119,7 @@ def _runs(length: int, buckets: int):
     def run(batches):
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 data, offsets, ids = _open(row, opener)
                 windows, place, h, sums = minimizers(data, offsets, length)
                 values = np.unique(h)
@@ -214,8 +219,10 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[n
         order, group = order[many], group[many]
     if not len(order) or not tail:
         return order, group
-    sums = prefix_hash(text)
-    rest = span_hash(sums, starts[order] + length - tail, starts[order] + length)
+    rest = np.zeros(len(order), np.uint64)
+    with np.errstate(over="ignore"):
+        for at in [*range(length - tail, length - 8, 8), length - 8]:
+            rest = mix(rest + np.ascontiguousarray(eight[starts[order] + at]).view(">u8").ravel().astype(np.uint64))
     new = np.diff(group, prepend=-1) != 0
     leader = np.flatnonzero(new)[np.cumsum(new) - 1]
     mixed = np.zeros(int(group.max()) + 1, bool)
@@ -253,13 +260,22 @@ def _sorted(length: int):
         count = whole["count"].astype(np.int64)
         size = count + length - 1
         begin = np.cumsum(size) - size
-        ramp = _ramps(count)
-        owner = np.repeat(np.arange(len(count)), count)
-        order, group = suffix_classes(whole["text"], begin[owner] + ramp, length)
-        doc = whole["doc"][owner[order]]
-        heads = np.flatnonzero(np.diff(group, prepend=-1))
-        least = np.minimum.reduceat(doc, heads)[group] if len(doc) else doc
-        late = np.sort(order[doc > least])
+        ramp = _ramps(count).astype(np.int32)
+        owner = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        # equal suffixes share their first bytes, so they can be sorted part by part
+        parts = max(1, len(owner) // SORT_AT_ONCE)
+        four = sum(whole["text"][begin[owner] + ramp + j].astype(np.uint32) << np.uint32(8 * j) for j in range(4)) if parts > 1 else np.zeros(len(owner), np.uint32)
+        with np.errstate(over="ignore"):
+            part = ((four * np.uint32(0x9E3779B1)) >> np.uint32(8)) % np.uint32(parts)
+        found = [np.zeros(0, np.int64)]
+        for i in range(parts):
+            here = np.flatnonzero(part == i)
+            order, group = suffix_classes(whole["text"], begin[owner[here]] + ramp[here], length)
+            doc = whole["doc"][owner[here[order]]]
+            heads = np.flatnonzero(np.diff(group, prepend=-1))
+            least = np.minimum.reduceat(doc, heads)[group] if len(doc) else doc
+            found.append(here[order[doc > least]])
+        late = np.sort(np.concatenate(found))
         from_block = np.repeat(block, [len(x) // 4 for x in blob["at"]])
         gone_block = np.repeat(block, [len(x) // 4 for x in blob["gone_at"]])
         # runs of windows that follow each other
@@ -283,7 +299,7 @@ def _cut(length: int, with_text: bool):
     def run(batches):
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 data, offsets, ids = _open(row, opener)
                 found = row["runs"] or ()
                 at = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x["at"], np.int32) for x in found)]).astype(np.int64)
