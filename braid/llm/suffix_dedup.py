@@ -28,8 +28,8 @@ from braid.llm.common import blocks, bucket_of, census, joined_classes, material
 GRAM = 20
 #: Words of 8 bytes that the multikey quicksort compares; beyond, the blind trie does.
 SHALLOW_WORDS = 4
-#: Bytes of text in a block, and for each bucket of suffixes; suffixes that are sorted at once.
-BLOCK_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 1 << 20, 6 << 20, 400_000
+#: Bytes of text in a block, for each bucket of minimizers, for each bucket of suffixes; suffixes that are sorted at once.
+BLOCK_BYTES, CENSUS_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 1 << 20, 8 << 20, 2 << 20, 200_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -141,16 +141,15 @@ def _runs(length: int, buckets: int):
                 late[order] = doc[order] > least
                 b = bucket_of(h, buckets)
                 by = np.lexsort((at, b))
-                for bucket, part in ((int(b[g[0]]), g) for g in np.split(by, np.flatnonzero(np.diff(b[by])) + 1) if len(g)):
+                out: dict[str, list] = {c: [] for c in ("bucket", "block", "at", "count", "doc", "text", "gone_at", "gone_count")}
+                for part in np.split(by, np.flatnonzero(np.diff(b[by])) + 1) if len(by) else ():
                     keep, gone = part[~late[part]], part[late[part]]
                     size = count[keep] + length - 1
-                    text = data[np.repeat(at[keep], size) + _ramps(size)]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "bucket": pa.array([bucket], pa.int32()), "block": [row["block"]], "at": [at[keep].astype(np.int32).tobytes()], "count": [count[keep].astype(np.int32).tobytes()],
-                            "doc": [doc[keep].tobytes()], "text": [text.tobytes()], "gone_at": [at[gone].astype(np.int32).tobytes()], "gone_count": [count[gone].astype(np.int32).tobytes()],
-                        }
-                    )
+                    values = int(b[part[0]]), row["block"], at[keep].astype(np.int32), count[keep].astype(np.int32), doc[keep], data[np.repeat(at[keep], size) + _ramps(size)], at[gone].astype(np.int32), count[gone].astype(np.int32)
+                    for column, x in zip(out.values(), values):
+                        column.append(x.tobytes() if isinstance(x, np.ndarray) else x)
+                types = [pa.int32(), pa.int64()] + [pa.binary()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types)], names=list(out))
 
     return run
 
@@ -339,7 +338,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = False) ->
     total = packed.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total // BUCKET_BYTES))
     fingerprints = packed.select("block", "ids", "sizes", "n", "z").mapInArrow(_fingerprints(length), "block long, hashes binary, counts binary")
-    found = census(fingerprints, buckets)
+    found = census(fingerprints, max(8, int(total // CENSUS_BYTES)))
     runs = packed.select("block", "ids", "sizes", "n", "z").join(found, "block").mapInArrow(
         _runs(length, buckets), "bucket int, block long, at binary, count binary, doc binary, text binary, gone_at binary, gone_count binary"
     )
