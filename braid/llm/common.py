@@ -153,6 +153,8 @@ def census(blocked: DataFrame, buckets: int) -> DataFrame:
             for block, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "hashes", "counts"))):
                 h, c = np.frombuffer(hashes, np.int64), np.frombuffer(counts, np.uint32)
                 b = bucket_of(h, buckets)
+                # 32 bits tell the hashes of a bucket apart; the rare ones that they don't count as one
+                h, c = ((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32), np.minimum(c, 255).astype(np.uint8)
                 cut = np.flatnonzero(np.diff(b, prepend=-1)) if len(b) else np.zeros(0, np.int64)
                 for i, j in zip(cut, [*cut[1:], len(b)]):
                     out.append((int(b[i]), block, h[i:j].tobytes(), c[i:j].tobytes()))
@@ -163,12 +165,12 @@ def census(blocked: DataFrame, buckets: int) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         blobs = table.column("hashes").to_pylist()
-        h = np.frombuffer(b"".join(blobs), np.int64)
-        c = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
+        h = np.frombuffer(b"".join(blobs), np.uint32)
+        c = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
         _, place = np.unique(h, return_inverse=True)
         classes = frequency_class(np.bincount(place, c))[place].tobytes()
-        ends = np.cumsum([len(x) // 8 for x in blobs])
-        parts = [classes[e - len(x) // 8 : e] for e, x in zip(ends, blobs)]
+        ends = np.cumsum([len(x) // 4 for x in blobs])
+        parts = [classes[e - len(x) // 4 : e] for e, x in zip(ends, blobs)]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "classes": pa.array(parts, pa.binary())})
 
     from pyspark.sql import functions as F

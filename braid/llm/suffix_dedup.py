@@ -30,6 +30,8 @@ GRAM = 20
 SHALLOW_WORDS = 4
 #: Bytes of text in a block, for each bucket of minimizers, for each bucket of suffixes; suffixes that are sorted at once.
 BLOCK_BYTES, CENSUS_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 1 << 20, 8 << 20, 2 << 20, 200_000
+#: Bytes whose windows are hashed at once.
+PART_BYTES = 1 << 18
 _LAST = np.iinfo(np.int64).max
 
 
@@ -53,14 +55,13 @@ def pack(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, ids binary, known binary, sizes binary, n long, z binary")
 
 
-def minimizers(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that lie in one document, the place of each one's minimizer, and its gram's 63-bit hash; also the prefix sums."""
-    sums = prefix_hash(data)
-    grams = len(data) - GRAM + 1
+def _minimizers(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of a few documents: see ``minimizer_runs``."""
     starts = [np.arange(a, b - length + 1) for a, b in zip(offsets[:-1], offsets[1:]) if b - a >= length]
     if not starts:
         none = np.zeros(0, np.int64)
-        return none, none, none, sums
+        return none, none, none, none.astype(np.uint64)
+    sums, grams = prefix_hash(data), len(data) - GRAM + 1
     at = np.arange(grams)
     h = span_hash(sums, at, at + GRAM) >> np.uint64(1)
     bits = np.uint64(max(1, int(grams).bit_length()))
@@ -73,8 +74,22 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     if width < span:
         key = np.minimum(key[: len(key) - (span - width)], key[span - width :])
     windows = np.concatenate(starts)
-    place = (np.uint64(grams) - (key[windows] & ((np.uint64(1) << bits) - np.uint64(1)))).astype(np.int64)
-    return windows, place, h[place].astype(np.int64), sums
+    place = grams - (key[windows] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    new = np.ones(len(windows), bool)
+    new[1:] = (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)
+    head = np.flatnonzero(new)
+    count, first = np.diff(np.append(head, len(windows))), windows[head]
+    return first, count, h[place[head]].astype(np.int64), span_hash(sums, first, first + count + length - 1)
+
+
+def minimizer_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows, each in one document, with one minimizer: their start, number, gram's 63-bit hash, and the hash of all their text."""
+    found = []
+    for a, b in blocks(offsets, PART_BYTES):
+        base = int(offsets[a])
+        first, *rest = _minimizers(data[base : int(offsets[b])], offsets[a : b + 1] - base, length)
+        found.append((first + base, *rest))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
 
 
 def _open(row: dict, opener) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,12 +109,11 @@ def _fingerprints(length: int):
         for batch in batches:
             for row in _one_by_one(batch):
                 data, offsets, _ = _open(row, opener)
-                _, place, h, _ = minimizers(data, offsets, length)
-                change = np.flatnonzero(np.diff(place, prepend=-1))
-                doc = np.searchsorted(offsets, place[change], side="right")
+                at, _, h, _ = minimizer_runs(data, offsets, length)
+                doc = np.searchsorted(offsets, at, side="right")
                 # once for each document, then once for the block with the number of documents
-                order = np.lexsort((doc, h[change]))
-                h, doc = h[change][order], doc[order]
+                order = np.lexsort((doc, h))
+                h, doc = h[order], doc[order]
                 first = np.ones(len(h), bool)
                 first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
                 values, counts = np.unique(h[first], return_counts=True)
@@ -121,18 +135,11 @@ def _runs(length: int, buckets: int):
         for batch in batches:
             for row in _one_by_one(batch):
                 data, offsets, ids = _open(row, opener)
-                windows, place, h, sums = minimizers(data, offsets, length)
-                values = np.unique(h)
-                shared = joined_classes(row["found"])[np.searchsorted(values, h)] > 0 if len(h) else np.zeros(0, bool)
-                windows, place, h = windows[shared], place[shared], h[shared]
-                new = np.ones(len(windows), bool)
-                new[1:] = (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)
-                head = np.flatnonzero(new)
-                count = np.diff(np.append(head, len(windows)))
-                at, h = windows[head], h[head]
+                at, count, h, same = minimizer_runs(data, offsets, length)
+                shared = joined_classes(row["found"])[np.searchsorted(np.unique(h), h)] > 0 if len(h) else np.zeros(0, bool)
+                at, count, h, same = at[shared], count[shared], h[shared], same[shared]
                 doc = ids[np.searchsorted(offsets, at, side="right") - 1]
                 # equal runs in the block: those of a larger doc_id are removed here
-                same = span_hash(sums, at, at + count + length - 1)
                 order = np.lexsort((doc, same))
                 lead = np.ones(len(order), bool)
                 lead[1:] = same[order][1:] != same[order][:-1]
