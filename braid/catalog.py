@@ -45,7 +45,7 @@ def _candidates(spark, sf_dir, **how):
 _CORPUS = """WITH corpus AS (SELECT d.doc_id AS id, d.text AS content, d.lang, d.source, e.embedding, v.ts FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN events v ON v.event_id = d.doc_id),
 query AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 7),
 tok AS (SELECT *, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS toks FROM corpus)"""
-_FOLD = "list_reduce(list_transform(list_zip(CAST(embedding AS DOUBLE[]), q), z -> {0}), (a, b) -> a + b)"
+_FOLD = "list_reduce(list_transform(list_zip(CAST(embedding AS DOUBLE[]), q), lambda z: {0}), lambda a, b: a + b)"
 _DISTANCE = {
     "cosine": "list_cosine_distance(CAST(embedding AS DOUBLE[]), q)",
     "l2": f"sqrt({_FOLD.format('(z[1] - z[2]) * (z[1] - z[2])')})",
@@ -53,9 +53,9 @@ _DISTANCE = {
     "l1": _FOLD.format("abs(z[1] - z[2])"),
 }
 _LIST = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
-_COUNT = f"len(list_filter(toks, t -> list_contains({_LIST}, t))) * CAST(0.1 AS DOUBLE)"
+_COUNT = f"len(list_filter(toks, lambda t: list_contains({_LIST}, t))) * CAST(0.1 AS DOUBLE)"
 _ANY = f"list_has_any(toks, {_LIST})"
-_RANK = "(" + " + ".join(f"coalesce(list_reduce(list_transform(range(1, len(list_filter(toks, t -> t = '{w}')) + 1), j -> CAST(0.1 AS DOUBLE) / (j * j)), (a, b) -> a + b), 0) / 1.64493406685" for w in TERMS) + ") / 3.0"
+_RANK = "(" + " + ".join(f"coalesce(list_sum(list_transform(range(1, len(list_filter(toks, lambda t: t = '{w}')) + 1), lambda j: CAST(0.1 AS DOUBLE) / (j * j))), 0) / 1.64493406685" for w in TERMS) + ") / 3.0"
 
 
 def _sql(vector: str | None = "cosine", match: str | None = _ANY, score: str = _COUNT, where: str = "true", pool: int = 50, limit: int = 10, offset: int = 0, fusion: str = "rrf", wv: float = 1.0, wt: float = 1.0, k: int = 60, recency: bool = False, tail: str | None = None) -> str:
@@ -133,14 +133,14 @@ def _ivf_recall(spark, sf_dir):
 
 _h = lambda **a: partial(_hybrid, **a)
 _C = lambda f: lambda spark, sf_dir: f(corpus(spark, sf_dir))
-_PHRASE = "list_bool_or(list_transform(range(1, len(toks)), i -> toks[i] = 'of' AND toks[i + 1] = 'the'))"
+_PHRASE = "list_bool_or(list_transform(range(1, len(toks)), lambda i: toks[i] = 'of' AND toks[i + 1] = 'the'))"
 
 #: name -> (query, SQL or None)
 _ALL: dict[str, tuple[Callable, str | None]] = {
     "hybrid_rrf": (_h(), _sql()),
     **{f"vector_topk_{m}": (_h(text=None, config={"metric": m}), _sql(m, None)) for m in ("cosine", "l2", "ip", "l1")},
     "text_topk_any": (_h(vector=False), _sql(None)),
-    "text_topk_all_simple": (_h(text="the of", vector=False, config={"text_match": "all"}), _sql(None, "list_contains(toks, 'the') AND list_contains(toks, 'of')", "0.0").replace("0.0 AS text_score", "NULL::DOUBLE AS text_score") and None),
+    "text_topk_all_simple": (_h(text="the of", vector=False, config={"text_match": "all"}), None),
     "hybrid_weighted": (_h(fusion="weighted"), _sql(fusion="weighted")),
     "hybrid_weights_k": (_h(config={"weights": Weights(1.5, 0.5), "k": 10}), _sql(wv=1.5, wt=0.5, k=10)),
     "hybrid_filter_eq": (_h(filters={"lang": "en"}), _sql(where="lang = 'en'")),

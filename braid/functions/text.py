@@ -122,8 +122,9 @@ def matches(tokens: Column, node) -> Column:
     if kind == "lex":
         return F.array_contains(tokens, value)
     if kind == "phrase":
-        places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.exists(places, lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(tokens, i + at) == w, F.lit(False)) for w, at in value]))
+        # one reference to the tokens: in a filter they may be an expression, evaluated at each
+        gaps = "".join(r"(?:[^ ]* ){%d}" % (at - before - 1) + re.escape(w) + " " for (w, at), (_, before) in zip(value[1:], value))
+        return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).rlike(f" {re.escape(value[0][0])} {gaps}")
     if kind == "not":
         return ~matches(tokens, value)
     parts = [matches(tokens, n) for n in value]

@@ -110,7 +110,7 @@ def explain(search: HybridSearch, text: str | None, embedding, *, limit: int = 1
     c = search.config
     pool = search.pool(limit, 0, near_miss, candidate_limit)
     label = label_column or next((x for x in LABELS if x in c.extra_columns), c.text_column)
-    page = search.search(text, embedding, limit=2 * pool, candidate_limit=2 * pool, filters=filters, fusion=fusion) if False else search.search(text, embedding, limit=pool, candidate_limit=pool, filters=filters, fusion=fusion)
+    page = search.search(text, embedding, limit=pool, candidate_limit=pool, filters=filters, fusion=fusion)
     rows = [r.asDict() | {"label": r[label]} for r in page.collect()]
     stats = candidate_stats(search.candidates(text, embedding, filters, pool, fusion)).first().asDict()
     weights = {m: [r.asDict() for r in effective_weights(search, text, embedding, fusion=m, filters=filters, candidate_limit=pool).collect()] for m in ("rrf", "weighted")}
