@@ -29,7 +29,7 @@ GRAM = 20
 #: Words of 8 bytes that the multikey quicksort compares; beyond, the blind trie does.
 SHALLOW_WORDS = 4
 #: Bytes of text in a block, for each bucket of minimizers, for each bucket of suffixes; suffixes that are sorted at once.
-BLOCK_BYTES, CENSUS_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 1 << 20, 8 << 20, 2 << 20, 200_000
+BLOCK_BYTES, CENSUS_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 4 << 20, 8 << 20, 1 << 20, 100_000
 #: Bytes whose windows are hashed at once.
 PART_BYTES = 1 << 18
 _LAST = np.iinfo(np.int64).max
@@ -131,7 +131,7 @@ def _runs(length: int, buckets: int):
     """Each block's runs of windows with one shared minimizer, by the minimizer's bucket."""
 
     def run(batches):
-        opener = zstandard.ZstdDecompressor()
+        opener, closer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(3)
         for batch in batches:
             for row in _one_by_one(batch):
                 data, offsets, ids = _open(row, opener)
@@ -152,7 +152,7 @@ def _runs(length: int, buckets: int):
                 for part in np.split(by, np.flatnonzero(np.diff(b[by])) + 1) if len(by) else ():
                     keep, gone = part[~late[part]], part[late[part]]
                     size = count[keep] + length - 1
-                    values = int(b[part[0]]), row["block"], at[keep].astype(np.int32), count[keep].astype(np.int32), doc[keep], data[np.repeat(at[keep], size) + _ramps(size)], at[gone].astype(np.int32), count[gone].astype(np.int32)
+                    values = int(b[part[0]]), row["block"], at[keep].astype(np.int32), count[keep].astype(np.int32), doc[keep], closer.compress(data[np.repeat(at[keep], size) + _ramps(size)].tobytes()), at[gone].astype(np.int32), count[gone].astype(np.int32)
                     for column, x in zip(out.values(), values):
                         column.append(x.tobytes() if isinstance(x, np.ndarray) else x)
                 types = [pa.int32(), pa.int64()] + [pa.binary()] * 6
@@ -262,6 +262,8 @@ def _sorted(length: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block").to_numpy()
         blob = {c: table.column(c).to_pylist() for c in ("at", "count", "doc", "text", "gone_at", "gone_count")}
+        opener = zstandard.ZstdDecompressor()
+        blob["text"] = [opener.decompress(x) for x in blob["text"]]
         whole = {c: np.frombuffer(b"".join(blob[c]), t) for c, t in (("at", np.int32), ("count", np.int32), ("doc", np.int64), ("text", np.uint8), ("gone_at", np.int32), ("gone_count", np.int32))}
         count = whole["count"].astype(np.int64)
         size = count + length - 1
