@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braid.llm.common import blocks, materialize, string_buffers
@@ -60,17 +60,18 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and ``x``, the statistics of each whole text (null: empty)."""
+def with_statistics(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, row (``row``, a long, or 0) and ``x``, the statistics of each whole text (null: empty)."""
 
     def run(batches):
         for batch in batches:
             offsets, raw = string_buffers(batch.column(1))
             for a, b in blocks(offsets):
                 x = [statistics(raw[offsets[i] : offsets[i + 1]].tobytes()) for i in range(a, b)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "row", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    mark = F.lit(0).cast("long") if row is None else row
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("row")).mapInArrow(run, "doc_id long, row long, x array<double>")
 
 
 @dataclass
@@ -174,22 +175,23 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(1))
+                x = _matrix(batch.column(2))
                 s = np.concatenate([model.score(x[i : i + 4096]) for i in range(0, len(x), 4096)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["doc_id", "row", "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return stats.mapInArrow(run, "doc_id long, row long, score double")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, row: Column | None = None) -> DataFrame:
     """doc_id and score (0 to 1; higher: label 1 likelier) for every row of ``docs``.
 
     Learns from ``labels`` (doc_id, quality) joined to ``docs``; labels that are null
     or neither 0 nor 1 teach nothing, a doc_id labelled twice teaches twice. The text
     alone decides a score: null and empty texts have the same one, repeated rows are
-    scored each, and further columns are ignored.
+    scored each, and further columns are ignored. ``row``, a long expression over
+    ``docs``, passes through as a column of that name.
     """
-    stats = materialize(with_statistics(docs), "statistics")
+    stats = materialize(with_statistics(docs, row), "statistics")
     y = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
     rows = materialize(stats.join(y, "doc_id"), "labelled")
-    return score(stats, train(rows))
+    return score(stats, train(rows)).select("doc_id", *([] if row is None else ["row"]), "score")

@@ -6,7 +6,7 @@ Parquet under the shared folder and rereads for the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braid.llm import decontaminate as winnow
@@ -24,11 +24,20 @@ def _like(docs: DataFrame) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c in DOCUMENTS])
 
 
+def _row() -> Column:
+    """Identity of a row: a 64-bit hash of doc_id (null is a value of its own) and text. Only rows equal in both share it, but for collisions."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("text").isNull(), "text")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` and their ``_row``, less those whose identity is in ``rows`` (one column)."""
+    return _like(docs).withColumn("_row", _row()).join(rows.toDF("_row").distinct(), "_row", "left_anti")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score below ``QUALITY``; learns from all labels of documents that are here."""
-    scores = quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scores.where(F.col("score") < QUALITY).select("doc_id").distinct()
-    return _like(docs.join(rejected, "doc_id", "left_anti"))
+    scores = quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row=_row())
+    return _like(_without(docs, scores.where(F.col("score") < QUALITY).select("row")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +48,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each near-duplicate group, repeated rows once."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return _like(docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]))
+    """Keeps the rows of the smallest doc_id of each near-duplicate group; rows equal in doc_id and text once.
+
+    Texts of one doc_id stay apart, and a group of null doc_ids only stays whole.
+    """
+    gone = minhash.near_duplicates(docs, row=_row()).where(~F.col("kept")).select("row")
+    return _like(_without(docs, gone).dropDuplicates(["_row", "doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    found = winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _like(docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti"))
+    found = winnow.decontaminate(docs.select(_row().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _like(_without(docs, found.where("contaminated").select("doc_id")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,52 @@
+import numpy as np
+import pytest
+
+import corpus_pipeline as P
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def say(seed, n=60):
+    return " ".join(np.random.default_rng(seed).choice(WORDS, n)) + "."
+
+
+def shout(seed):
+    return " ".join([WORDS[seed % len(WORDS)] + "!!"] * 40).upper()
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+
+
+def pairs(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("tables"))
+    good, bad = [(i, say(i)) for i in range(150)], [(1000 + i, shout(i)) for i in range(150)]
+    spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in good + bad], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, say(900, 25)), (None, say(901, 25))], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at, good, bad
+
+
+def test_near_dedup_drops_repeated_rows_only(spark):
+    a, b, c = say(1), say(2), say(3)
+    near = a.replace(".", " more")
+    rows = [(1, a), (1, a), (2, near), (3, b), (3, c), (None, say(4)), (None, say(5)), (None, say(5)), (None, None), (4, None), (4, ""), (2, say(6)), (None, a)]
+    want = [(1, a), (3, b), (3, c), (None, say(4)), (None, say(5)), (None, None), (4, None), (4, ""), (2, say(6))]
+    assert pairs(P.near_dedup(spark, frame(spark, rows), "")) == sorted(want, key=repr)
+
+
+def test_quality_removes_the_text_and_not_the_doc_id(spark, tables):
+    at, good, bad = tables
+    extra = [(None, shout(7)), (None, say(700)), (5000, say(701)), (5000, shout(8))]
+    assert pairs(P.quality_classifier(spark, frame(spark, good + bad + extra), at)) == sorted(good + [extra[1], extra[2]], key=repr)
+
+
+def test_decontaminate_removes_the_text_and_not_the_doc_id(spark, tables):
+    dirty = say(10) + " " + say(900, 25)
+    rows = [(1, say(11)), (1, dirty), (None, dirty), (None, say(12)), (2, None), (3, dirty)]
+    assert pairs(P.decontaminate(spark, frame(spark, rows), tables[0])) == sorted([rows[0], rows[3], rows[4]], key=repr)
