@@ -35,8 +35,14 @@ def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score below ``QUALITY``; learns from all labels of documents that are here."""
-    scores = quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row=_row())
+    """Drops documents that score below ``QUALITY``; learns from all labels of documents that are here.
+
+    With no such label there is nothing to learn from, and all documents stay.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    if labels.where("quality in (0, 1)").join(docs.select("doc_id"), "doc_id", "left_semi").isEmpty():
+        return _like(docs)
+    scores = quality.quality_scores(docs, labels, row=_row())
     return _like(_without(docs, scores.where(F.col("score") < QUALITY).select("row")))
 
 

@@ -50,3 +50,12 @@ def test_decontaminate_removes_the_text_and_not_the_doc_id(spark, tables):
     dirty = say(10) + " " + say(900, 25)
     rows = [(1, say(11)), (1, dirty), (None, dirty), (None, say(12)), (2, None), (3, dirty)]
     assert pairs(P.decontaminate(spark, frame(spark, rows), tables[0])) == sorted([rows[0], rows[3], rows[4]], key=repr)
+
+
+def test_quality_keeps_all_without_labels(spark, tables, tmp_path):
+    at, good, bad = tables
+    docs = frame(spark, good[:3] + bad[:3] + [(None, shout(9))])
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    for name, some in (("none", labels.limit(0)), ("elsewhere", labels.selectExpr("doc_id + 90000 AS doc_id", "quality", "toxic")), ("null", labels.selectExpr("doc_id", "CAST(NULL AS INT) AS quality", "toxic"))):
+        some.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert pairs(P.quality_classifier(spark, docs, f"{tmp_path}/{name}")) == pairs(docs)
