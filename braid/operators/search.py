@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from braid.config import FUSIONS, SearchConfig
 from braid.functions import text as T
 from braid.functions.vector import distance, literal
+from braid.operators.nearest import SLICE_BYTES, nearest
 
 
 def filter_column(filters: dict, allowed: tuple[str, ...]) -> Column:
@@ -160,19 +161,7 @@ class HybridSearch:
         return F.when(v & t, "both").when(v, "vector").when(t, "text").otherwise("none")
 
 
-def batch_vector_search(table: DataFrame, queries: DataFrame, k: int, metric: str, id_column: str = "id", vector_column: str = "embedding", query_rows: int = 10_000) -> DataFrame:
-    """query_id, id, distance, rank for many queries (query_id, vector) in one pass over the table.
-
-    Queries are broadcast after a count against ``query_rows``; more are searched in slices of that many.
-    """
-    n = queries.count()
-    slices = max(1, -(-n // query_rows))
-    found = None
-    for i in range(slices):
-        part = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        q = part.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("_q"))
-        pairs = table.where(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector_column).alias("_v")).join(F.broadcast(q), F.lit(True))
-        best = pairs.select("query_id", "id", distance("_v", F.col("_q"), metric).alias("distance"))
-        found = best if found is None else found.union(best)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+def batch_vector_search(table: DataFrame, queries: DataFrame, k: int, metric: str, id_column: str = "id", vector_column: str = "embedding", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """query_id, id, distance, rank for many queries (query_id, vector); see ``nearest``. Each slice of queries reads the table once."""
+    rows = table.select(F.col(id_column).alias("id"), F.col(vector_column).alias("vector"))
+    return nearest(rows, queries, k, metric, slice_bytes).select("query_id", "id", "distance", "rank")

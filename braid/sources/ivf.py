@@ -7,10 +7,10 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from braid.functions.vector import distance, literal
+from braid.operators.nearest import SLICE_BYTES, nearest
 
 #: Rows that k-means is fitted on, at most about.
 FIT_ROWS = 100_000
@@ -68,32 +68,16 @@ class IvfIndex:
         near = self.rows.where(F.col("list").isin([int(i) for i in order])).select("id", distance("v", literal(vector), self.metric).alias("distance"))
         return near.orderBy("distance", "id").limit(k)
 
-    def search_batch(self, queries: DataFrame, k: int, probes: int | None = None, query_rows: int = 10_000) -> DataFrame:
-        """query_id, id, distance, rank of many queries (query_id, vector): each query meets the rows of its probed lists in one joined pass.
-
-        Queries are broadcast after a count against ``query_rows``; more are searched in slices of that many.
-        """
-        centres, cosine, count = self.centres, self.metric == "cosine", probes or ivf_probes(len(self.centres))
-
-        def probe(batches):
-            for batch in batches:
-                ids, vectors = batch.column(0), batch.column(1).to_pylist()
-                at, lists = [], []
-                for i, v in enumerate(vectors):
-                    q = np.array(v, float)
-                    unit = q / max(np.linalg.norm(q), 1e-12) if cosine else q
-                    near = ((centres - unit) ** 2).sum(1).argsort(kind="stable")[:count]
-                    at += [i] * len(near)
-                    lists += near.tolist()
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array([vectors[i] for i in at], pa.list_(pa.float64())), pa.array(lists, pa.int32())], names=["query_id", "_q", "list"])
-
-        asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("_q"))
-        slices = max(1, -(-asked.count() // query_rows))
-        kind, found = asked.schema["query_id"].dataType.simpleString(), None
-        for i in range(slices):
-            part = asked if slices == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-            met = self.rows.join(F.broadcast(part.mapInArrow(probe, f"query_id {kind}, _q array<double>, list int")), "list")
-            best = met.select("query_id", "id", distance("v", F.col("_q"), self.metric).alias("distance"))
-            found = best if found is None else found.union(best)
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    def probed(self, queries: np.ndarray, count: int) -> np.ndarray:
+        """Boolean matrix (queries x lists): the ``count`` lists with the nearest centres of each query."""
+        unit = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12) if self.metric == "cosine" else queries
+        near = np.stack([((self.centres - q) ** 2).sum(1).argsort(kind="stable")[:count] for q in unit])
+        out = np.zeros((len(queries), len(self.centres)), bool)
+        np.put_along_axis(out, near, True, 1)
+        return out
+
+    def search_batch(self, queries: DataFrame, k: int, probes: int | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+        """query_id, id, distance, rank of many queries (query_id, vector): one pass over the index for each slice, in which a list's rows meet the queries that probe it."""
+        count = probes or ivf_probes(len(self.centres))
+        rows = self.rows.select("id", F.col("v").alias("vector"), "list")
+        return nearest(rows, queries, k, self.metric, slice_bytes, lambda q: self.probed(q, count)).select("query_id", "id", "distance", "rank")

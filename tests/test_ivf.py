@@ -18,8 +18,8 @@ def test_recall_of_the_default_probes(spark, tmp_path):
     index = build_ivf(table, str(tmp_path / "ivf"), "id", "embedding", lists=20)
     queries = table.where("id % 100 = 0").selectExpr("id AS query_id", "embedding AS vector")
     exact = {(r["query_id"], r["id"]) for r in batch_vector_search(table, queries, 10, "cosine").collect()}
-    for slices in (10_000, 5):
-        found = {(r["query_id"], r["id"]) for r in index.search_batch(queries, 10, query_rows=slices).collect()}
+    for slice_bytes in (1 << 20, 320):
+        found = {(r["query_id"], r["id"]) for r in index.search_batch(queries, 10, slice_bytes=slice_bytes).collect()}
         assert len(exact) == len(found) == 120 and len(exact & found) >= 0.9 * len(exact)
     asked = queries.where("query_id = 300").first()["vector"]
     one = [tuple(r) for r in index.search(asked, 10, 2).collect()]
