@@ -46,6 +46,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return write_table(df, label)[0]
 
 
+#: Bytes of input for each partition that ``gathered`` leaves at least.
+GATHER_BYTES = 32 << 20
+
+
+def gathered(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df`` in fewer partitions, without a shuffle, before it is written: one for each 32 MB of ``source``, two for each core at least.
+
+    Each file that an executor writes costs the local file system a process or two, so
+    a small table in many partitions would be mostly that. ``df`` must not number its rows by
+    partition. The size is the optimizer's: file sizes, or more where ``source`` has joins.
+    """
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.coalesce(int(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, size // GATHER_BYTES), 2**31 - 1)))
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Deletes a written table that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -191,28 +206,34 @@ def joined_classes(found: list[dict] | None) -> np.ndarray:
 # --- Connected components ----------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, source: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b) reaches.
 
     Smallest labels spread along the edges, and each round also takes the label of
     the label, so a chain of n nodes needs about log n rounds. A table is written
     each round; nothing but the number of changed labels reaches the driver.
+    ``source``: the table whose size decides in how many files (see ``gathered``).
     """
     from pyspark.sql import functions as F
 
     spark = edges.sparkSession
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels, path = write_table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+
+    def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+        return write_table(gathered(df, source), label)
+
+    both, edge_path = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    labels, path = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread, mid = write_table(
+        spread, mid = written(
             labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "spread"
         )
         jump = spread.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        after, end = write_table(spread.join(jump, "label", "left").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        after, end = written(spread.join(jump, "label", "left").select("node", "old", F.least("label", "up").alias("label")), "labels")
         changed = after.where("label <> old").limit(1).count()
         drop_table(spark, mid)
         drop_table(spark, path)
         labels, path = after.select("node", "label"), end
         if not changed:
+            drop_table(spark, edge_path)
             return labels.withColumnRenamed("label", "component")
