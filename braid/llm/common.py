@@ -34,11 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+#: Most bytes that Spark sends to a Python worker at once while a table is written.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Writes ``df`` as Parquet under the shared folder; returns it reread, and its path."""
+    """Writes ``df`` as Parquet under the shared folder; returns it reread, and its path.
+
+    Batches for Python workers are kept small meanwhile: they are held twice, outside
+    the JVM's heap and in the worker, by every running task.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    usual = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if usual is None:
+            spark.conf.unset(BATCH)
+        else:
+            spark.conf.set(BATCH, usual)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -86,6 +103,12 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, raw
 
 
+def one_by_one(batch: pa.RecordBatch):
+    """The rows of a batch as dicts, one at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES):
     """Row ranges [a, b) of about ``limit`` bytes; a longer document is a block of its own."""
     n, a = len(offsets) - 1, 0
@@ -152,31 +175,32 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> 31) * buckets >> 32).astype(np.int64)
 
 
-def census(blocked: DataFrame, buckets: int) -> DataFrame:
+def census(rows: DataFrame, of, buckets: int) -> DataFrame:
     """Counts hashes over all blocks, shipping packed arrays in place of a row for each hash.
 
-    ``blocked``: block long, hashes binary (int64, sorted, distinct inside the block),
-    counts binary (uint32 for each). Returns block and ``found``: array of
-    (bucket, classes); the classes joined in order of bucket are the
+    ``rows`` are blocks with a long column ``block``; ``of`` gives the hashes (int64,
+    sorted, distinct inside the block) and counts of a row, a dict. Returns block and
+    ``found``: array of (bucket, classes); the classes joined in order of bucket are the
     ``frequency_class`` of every hash of the block. A hash adds one entry for each
     block that holds it, however many rows of the block do.
     """
 
     def split(batches):
         for batch in batches:
-            out: list[tuple] = []
-            for block, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "hashes", "counts"))):
-                h, c = np.frombuffer(hashes, np.int64), np.frombuffer(counts, np.uint32)
+            for row in one_by_one(batch):
+                h, c = of(row)
                 b = bucket_of(h, buckets)
                 # 32 bits tell the hashes of a bucket apart; the rare ones that they don't count as one
                 h, c = ((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32), np.minimum(c, 255).astype(np.uint8)
                 cut = np.flatnonzero(np.diff(b, prepend=-1)) if len(b) else np.zeros(0, np.int64)
-                for i, j in zip(cut, [*cut[1:], len(b)]):
-                    out.append((int(b[i]), block, h[i:j].tobytes(), c[i:j].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                names=["bucket", "block", "hashes", "counts"],
-            )
+                ends = [*cut[1:], len(b)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(b[cut].astype(np.int32)), pa.array(np.full(len(cut), row["block"], np.int64)),
+                        pa.array([h[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()), pa.array([c[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()),
+                    ],
+                    names=["bucket", "block", "hashes", "counts"],
+                )
 
     def count(table: pa.Table) -> pa.Table:
         blobs = table.column("hashes").to_pylist()
@@ -191,7 +215,7 @@ def census(blocked: DataFrame, buckets: int) -> DataFrame:
     from pyspark.sql import functions as F
 
     return (
-        blocked.mapInArrow(split, "bucket int, block long, hashes binary, counts binary")
+        rows.mapInArrow(split, "bucket int, block long, hashes binary, counts binary")
         .groupBy("bucket")
         .applyInArrow(count, "block long, bucket int, classes binary")
         .groupBy("block")

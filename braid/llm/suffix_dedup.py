@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braid.llm.common import blocks, bucket_of, census, joined_classes, materialize, mix, prefix_hash, span_hash, string_buffers
+from braid.llm.common import blocks, bucket_of, census, joined_classes, materialize, mix, one_by_one, prefix_hash, span_hash, string_buffers
 
 GRAM = 20
 #: Words of 8 bytes that the multikey quicksort compares; beyond, the blind trie does.
@@ -98,28 +98,20 @@ def _open(row: dict, opener) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, np.concatenate(([0], np.cumsum(sizes))), np.frombuffer(row["ids"], np.int64)
 
 
-def _one_by_one(batch: pa.RecordBatch):
-    for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
-
-
 def _fingerprints(length: int):
-    def run(batches):
-        opener = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for row in _one_by_one(batch):
-                data, offsets, _ = _open(row, opener)
-                at, _, h, _ = minimizer_runs(data, offsets, length)
-                doc = np.searchsorted(offsets, at, side="right")
-                # once for each document, then once for the block with the number of documents
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                values, counts = np.unique(h[first], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"block": [row["block"]], "hashes": [values.tobytes()], "counts": [counts.astype(np.uint32).tobytes()]})
+    """A block's distinct minimizers, and the number of its documents that have each."""
 
-    return run
+    def of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets, _ = _open(row, zstandard.ZstdDecompressor())
+        at, _, h, _ = minimizer_runs(data, offsets, length)
+        doc = np.searchsorted(offsets, at, side="right")
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        return np.unique(h[first], return_counts=True)
+
+    return of
 
 
 def _ramps(counts: np.ndarray) -> np.ndarray:
@@ -133,7 +125,7 @@ def _runs(length: int, buckets: int):
     def run(batches):
         opener, closer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(3)
         for batch in batches:
-            for row in _one_by_one(batch):
+            for row in one_by_one(batch):
                 data, offsets, ids = _open(row, opener)
                 at, count, h, same = minimizer_runs(data, offsets, length)
                 shared = joined_classes(row["found"])[np.searchsorted(np.unique(h), h)] > 0 if len(h) else np.zeros(0, bool)
@@ -307,7 +299,7 @@ def _cut(length: int, with_text: bool):
     def run(batches):
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in _one_by_one(batch):
+            for row in one_by_one(batch):
                 data, offsets, ids = _open(row, opener)
                 found = row["runs"] or ()
                 at = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x["at"], np.int32) for x in found)]).astype(np.int64)
@@ -346,8 +338,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = False) ->
     packed = materialize(pack(docs), "text-blocks")
     total = packed.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total // BUCKET_BYTES))
-    fingerprints = packed.select("block", "ids", "sizes", "n", "z").mapInArrow(_fingerprints(length), "block long, hashes binary, counts binary")
-    found = census(fingerprints, max(8, int(total // CENSUS_BYTES)))
+    found = census(packed.select("block", "ids", "sizes", "n", "z"), _fingerprints(length), max(8, int(total // CENSUS_BYTES)))
     runs = packed.select("block", "ids", "sizes", "n", "z").join(found, "block").mapInArrow(
         _runs(length, buckets), "bucket int, block long, at binary, count binary, doc binary, text binary, gone_at binary, gone_count binary"
     )
