@@ -111,7 +111,7 @@ def test_decontaminate(spark, docs, none):
                     found |= who
         want.append((r[0], len(w), len(hit), sorted(str(x) for x in found if x is not None)))
     for limit in (10**6, 0):  # broadcast, and shuffled
-        got = decontaminate.decontaminate(docs, bench, broadcast_windows=limit).collect()
+        got = decontaminate.decontaminate(docs, bench, broadcast_bytes=limit).collect()
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=repr) == sorted(want, key=repr)
     assert decontaminate.decontaminate(none, bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
