@@ -62,8 +62,8 @@ def fingerprints(df: DataFrame, width: int, short: list[int]) -> DataFrame:
     return df.withColumn("prints", F.concat(runs, *more) if more else runs).drop("_m", "_starts")
 
 
-def _said(at: Column, size: Column) -> Column:
-    return F.array_join(F.slice("words", at + 1, size), " ")
+def _said(words: Column | str, at: Column, size: Column) -> Column:
+    return F.array_join(F.slice(words, at + 1, size), " ")
 
 
 def _windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, list[int]]:
@@ -72,7 +72,7 @@ def _windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, list[int]]:
     short = sorted(r[0] for r in item.where(F.size("words") < width).select(F.size("words")).distinct().collect())  # width - 1 at most
     # outer, as Spark would else add a filter that evaluates the arrays once more, nested
     own = fingerprints(item, width, short).select("item", "words", F.explode_outer("prints").alias("p")).where((F.col("p.size") == width) | (F.col("p.size") == F.size("words")))
-    each = F.transform(F.sequence(F.col("p.at"), F.col("p.until") - 1), lambda i: _said(i, F.col("p.size")))
+    each = F.transform(F.sequence(F.col("p.at"), F.col("p.until") - 1), lambda i: _said("words", i, F.col("p.size")))
     return own.select("item", "p.size", "p.h", F.explode_outer(each).alias("said")), short
 
 
@@ -127,9 +127,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadc
     rows = kept(rows, "fingerprint-hits")
     # documents with a hit once more, for their words
     wanted = rows.where(F.size("hits") > 0).dropDuplicates(["key"]).select("key", "hits")
-    again = base.join(wanted, "key").select("key", "hits", words(F.col("text")).alias("words"))
-    each = F.flatten(F.transform("hits", lambda p: F.transform(F.sequence(p["at"], p["until"] - 1), lambda i: F.struct(i.alias("i"), p["size"].alias("size"), _said(i, p["size"]).alias("said")))))
-    sure = again.select("key", F.explode_outer(each).alias("w")).select("key", "w.*").join(held.select("size", "said", "list"), ["size", "said"]).select("key", "i", "size", "list")
+    def each(said: Column) -> Column:
+        return F.flatten(F.transform("hits", lambda p: F.transform(F.sequence(p["at"], p["until"] - 1), lambda i: F.struct(i.alias("i"), p["size"].alias("size"), _said(said, i, p["size"]).alias("said")))))
+
+    # an array of one binds the words, which would else be taken from the text again for each window
+    again = base.join(wanted, "key").select("key", F.flatten(F.transform(F.array(words(F.col("text"))), each)).alias("each"))
+    sure = again.select("key", F.explode_outer("each").alias("w")).select("key", "w.*").join(held.select("size", "said", "list"), ["size", "said"]).select("key", "i", "size", "list")
     sure = kept(sure, "sure-hits")
     lists = held.select("list", "items").dropDuplicates(["list"])
     items = sure.select("key", "list").distinct().join(lists, "list").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
