@@ -12,11 +12,11 @@ language are summed by partition, so training is one pass over the training rows
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +26,11 @@ from braid.llm.common import blocks, string_buffers
 BUCKETS, SIZES = 1 << 13, (1, 2, 3)
 #: At most about this many training documents of each language (a hash of doc_id picks them).
 TRAIN_PER_LANGUAGE = 20_000
-#: A language column with more values than this is refused: it isn't a set of languages.
+#: Of a column with more values than this, the most frequent are learned.
 MAX_LANGUAGES = 2_000
 #: Below this lead of the best score over the second an answer is ambiguous.
 AMBIGUOUS = 0.2
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[:65] = 32
@@ -99,11 +99,13 @@ class Model:
 
 
 def train(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
-    """Model from (doc_id, text, lang). Rows without text, or with a null lang, teach nothing."""
+    """Model from (doc_id, text, lang). Rows without text, or with a null lang, teach nothing.
+
+    Of more than ``MAX_LANGUAGES`` values the most frequent are learned, of equally
+    frequent ones those that sort first. A repeated row teaches each time.
+    """
     rows = rows.where("lang is not null and text is not null and text <> ''").select(F.col("doc_id"), "text", "lang")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((BUCKETS, 0)))
@@ -130,7 +132,7 @@ def train(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
         total = sum(np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist())
         return pa.table({"lang": table.column("lang")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    partial = rows.where(place < share[F.col("lang")]).select("text", "lang").mapInArrow(count, "lang int, sums binary")
+    partial = rows.where(F.col("lang").isin(languages)).where(place < share[F.col("lang")]).select("text", "lang").mapInArrow(count, "lang int, sums binary")
     rates = np.zeros((len(languages), BUCKETS))
     for r in partial.groupBy("lang").applyInArrow(add, "lang int, sums binary").collect():  # one row for each language
         rates[r["lang"]] = np.frombuffer(r["sums"], np.float64)
