@@ -27,8 +27,9 @@ BLOCKS = frozenset(
     "html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption form fieldset legend address details summary hr dialog menu center button select option".split()
 )
-#: Elements whose content is never page text.
-SKIPPED = frozenset("script style noscript template textarea iframe svg math object title canvas audio video".split())
+#: Elements whose content is raw text and never page text.
+SKIPPED = frozenset("script style template textarea iframe title".split())
+_ANY_TAG = re.compile(r"<(?=/?[a-zA-Z])")
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: A start tag ends an open element of its set, up to the nearest of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -75,12 +76,20 @@ def _names(attributes: str) -> tuple[frozenset, int | None]:
     return frozenset(g for g, names in _GROUPS.items() if names & set(words)), label
 
 
+@lru_cache(64)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
+
+
 def parse(page: str) -> list[Node]:
     """Block elements and runs of inline text in page order; the first node is the root."""
     nodes = [Node("body", frozenset(), -1, None)]
     open_: list[tuple[str, int]] = [("#root", 0)]  # tag, node (inline elements have their block's)
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
+    unclosed: set[str] = set()
+    count: dict[str, int] = {}  # open elements of each tag
+    block_at = [0]  # places in open_ of the root and of open block elements
 
     def flush() -> None:
         nonlocal linked
@@ -95,10 +104,14 @@ def parse(page: str) -> list[Node]:
 
     def close(i: int) -> None:
         nonlocal in_link
-        if any(t in BLOCKS for t, _ in open_[i:]):
+        if block_at[-1] >= i:
             flush()
-        in_link -= sum(t == "a" for t, _ in open_[i:])
+        for t, _ in open_[i:]:
+            count[t] -= 1
+            in_link -= t == "a"
         del open_[i:]
+        while block_at[-1] >= i:
+            block_at.pop()
 
     end = len(page)
     while at < end:
@@ -114,29 +127,31 @@ def parse(page: str) -> list[Node]:
         if not tag:
             continue
         if shut:
-            i = next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0] == tag), None)
-            if i is not None:
-                close(i)
+            if count.get(tag):
+                close(next(i for i in range(len(open_) - 1, 0, -1) if open_[i][0] == tag))
             elif tag in BLOCKS:
                 flush()
             continue
         if tag in SKIPPED:
             if not attributes.endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                if tag not in unclosed and (stop := _end_of(tag).search(page, at)):
+                    at = stop.end()
+                else:  # never closed: it ends where the next tag is
+                    unclosed.add(tag)
+                    stop = _ANY_TAG.search(page, at)
+                    at = stop.start() if stop else end
             continue
         if tag in IMPLIED:
             ends, fence = IMPLIED[tag]
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if any(count.get(t) for t in ends) else ():
                 if open_[i][0] in fence:
                     break
                 if open_[i][0] in ends:
                     close(i)
                     break
         if tag in BLOCKS:
-            i = next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0] in BLOCKS), None)
-            if i is not None and open_[i][0] == "p":
-                close(i)
+            if open_[block_at[-1]][0] == "p":
+                close(block_at[-1])
             flush()
         elif tag == "br":
             parts.append(" ")
@@ -146,10 +161,12 @@ def parse(page: str) -> list[Node]:
             names, label = _names(attributes)
             owner = open_[-1][1]
             nodes.append(Node(tag, names, owner, nodes[owner].label if label is None else label))
+            block_at.append(len(open_))
             open_.append((tag, len(nodes) - 1))
         else:
             in_link += tag == "a"
             open_.append((tag, open_[-1][1]))
+        count[tag] = count.get(tag, 0) + 1
     flush()
     return nodes
 
