@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braid.llm.common import blocks, materialize, string_buffers
+from braid.llm.common import blocks, gathered, materialize, string_buffers
 
 FEATURES, GAMMA, RIDGE, SEED = 256, 0.04, 1.0, 5
 #: One in so many training rows calibrates and isn't fitted.
@@ -193,5 +193,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, row: Column | None = None
     """
     stats = materialize(with_statistics(docs, row), "statistics")
     y = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    rows = materialize(stats.join(y, "doc_id"), "labelled")
+    rows = materialize(gathered(stats.join(y, "doc_id"), docs), "labelled")
     return score(stats, train(rows)).select("doc_id", *([] if row is None else ["row"]), "score")

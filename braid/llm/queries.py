@@ -69,7 +69,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents"), [1.0] * 8).withColumn("law", F.lit("key"))
+    rows = sharding.shard(_table(spark, sf_dir, "documents"), [1.0] * 8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def tokenizer_path() -> str:
