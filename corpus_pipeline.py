@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from braid.llm import decontaminate as winnow
 from braid.llm import line_dedup as lines
 from braid.llm import minhash, packing, quality
-from braid.llm.common import materialize
+from braid.llm.common import gathered, materialize
 from braid.llm.queries import tokenizer_path
 
 #: Documents with a lower score go.
@@ -43,7 +43,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     if labels.where("quality in (0, 1)").join(docs.select("doc_id"), "doc_id", "left_semi").isEmpty():
         return _like(docs)
     scores = quality.quality_scores(docs, labels, row=_row())
-    return _like(_without(docs, scores.where(F.col("score") < QUALITY).select("row")))
+    return gathered(_like(_without(docs, scores.where(F.col("score") < QUALITY).select("row"))), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,13 +59,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts of one doc_id stay apart, and a group of null doc_ids only stays whole.
     """
     gone = minhash.near_duplicates(docs, row=_row()).where(~F.col("kept")).select("row")
-    return _like(_without(docs, gone).dropDuplicates(["_row", "doc_id", "text"]))
+    return gathered(_like(_without(docs, gone).dropDuplicates(["_row", "doc_id", "text"])), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
     found = winnow.decontaminate(docs.select(_row().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _like(_without(docs, found.where("contaminated").select("doc_id")))
+    return gathered(_like(_without(docs, found.where("contaminated").select("doc_id"))), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
