@@ -35,8 +35,19 @@ def integer_vectors(df: DataFrame, factor: int = 64) -> DataFrame:
 
 
 def _rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as they are: int64."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.int64)
+
+
+def _exactly(v: np.ndarray, top: float) -> np.ndarray:
+    """Integers in a float type that holds their inner products: double below 2**53, else the 64-bit mantissa of the long double."""
+    return v.astype(np.float64 if top < 2.0**53 else np.longdouble)
+
+
+def _whole(score: np.ndarray) -> np.ndarray:
+    """Scores as longs; beyond their range, the nearest."""
+    return np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in score], np.int64) if score.dtype == np.longdouble else score.astype(np.int64)
 
 
 class Node:
@@ -84,14 +95,14 @@ def pages(root: Node, ids: np.ndarray, vectors: np.ndarray):
         number += 1
 
 
-def search(tree: list[dict], queries: np.ndarray, own: np.ndarray, k: int, top: float, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Best k (scores, ids) in the tree for a block of queries; -inf fills what is missing. Also the distances computed.
+def search(tree: list[dict], exact: np.ndarray, own: np.ndarray, k: int, top: float, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Best k (scores, ids) in the tree for a block of queries (``_exactly``); -inf fills what is missing. Also the distances computed.
 
     ``bound``: scores below it can't be among a query's k best; ``top``: squared length of all lifted candidates.
     """
-    n = len(queries)
+    n, queries = len(exact), exact.astype(np.float64)
     square = (queries * queries).sum(1) + top
-    scores, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+    scores, ids = np.full((n, k), -np.inf, exact.dtype), np.full((n, k), np.iinfo(np.int64).max)
     bound = bound.copy()
     slack = 1e-6 * np.sqrt(square)
     computed = 0
@@ -130,7 +141,7 @@ def search(tree: list[dict], queries: np.ndarray, own: np.ndarray, k: int, top:
         if not len(rows):
             continue
         computed += len(rows) * int(cols.sum())
-        s, who = queries[rows] @ page["vectors"][cols].T, page["ids"][cols]
+        s, who = exact[rows] @ page["vectors"][cols].T, page["ids"][cols]
         s[own[rows][:, None] == who[None]] = -np.inf
         better = (s >= np.maximum(bound[rows], scores[rows, -1])[:, None]) & np.isfinite(s)
         some = better.any(1)
@@ -153,26 +164,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     smaller vec_id; a query has fewer rows if fewer candidates exist. A query is not
     its own candidate, by vec_id. Vectors of different lengths don't meet. A repeated
     query row is one query; repeated candidate rows are candidates each.
-    Inner products must stay below 2**53, or ``OverflowError`` is raised.
+    Inner products are exact as far as they fit into a long; beyond, the score is the
+    nearest long.
     """
     vectors = materialize(vectors.withColumn("dim", F.size("v")).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), "vectors")
     facts = vectors.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()  # one row for each length
-    if any(r["top"] >= 2.0**53 for r in facts):
-        raise OverflowError("an inner product may not fit into 2**53")
     if not facts:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
     tops, n = {r["dim"]: float(r["top"]) for r in facts}, sum(r["n"] for r in facts)
     trees = max(1, -(-n // TREE))
     asked = queries.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim"))
-    chunks = max(1, -(-asked.count() // CHUNK))
+    most = asked.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()
+    chunks = max(1, -(-most[0] // CHUNK))
+    wide = {d: max(top, float(np.sqrt(top) * np.sqrt(most[1] or 0.0))) for d, top in tops.items()}  # no inner product is larger
     sample = vectors.where(F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(1)), 11) / F.lit(float(1 << 53)) < BOUND_SAMPLE / n).limit(2 * BOUND_SAMPLE).collect()  # bounded; any rows do
-    seen = {d: (np.array([r["v"] for r in sample if r["dim"] == d], np.float64), np.array([r["vec_id"] for r in sample if r["dim"] == d])) for d in tops}
+    seen = {d: (np.array([r["v"] for r in sample if r["dim"] == d], np.int64), np.array([r["vec_id"] for r in sample if r["dim"] == d])) for d in tops}
 
     def plant(table: pa.Table) -> pa.Table:
-        v, ids = _rows(table.column("v")), table.column("vec_id").to_numpy()
+        whole, ids = _rows(table.column("v")), table.column("vec_id").to_numpy()
         dim, tree = table.column("dim")[0].as_py(), table.column("tree")[0].as_py()
+        v = whole.astype(np.float64)
         lifted = np.hstack([v, np.sqrt(np.maximum(tops[dim] - (v * v).sum(1), 0))[:, None]])
-        out = list(pages(build(lifted, np.random.default_rng(tree)), ids, v))
+        out = list(pages(build(lifted, np.random.default_rng(tree)), ids, whole))
         blob = [pa.array([p[c].tobytes() for p in out], pa.binary()) for c in (2, 5, 6, 7)]
         return pa.table(
             [pa.array([dim] * len(out), pa.int32()), pa.array([tree] * len(out), pa.int32()), pa.array([p[0] for p in out], pa.int32()), pa.array([p[1] for p in out], pa.int32()),
@@ -190,27 +203,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             rows = sorted(held.to_pylist(), key=lambda r: r["page"])
             dim, tree = rows[0]["dim"], []
             for r in rows:
-                tree.append({"pivot": np.frombuffer(r["pivot"]), "radius": r["radius"], "ids": np.frombuffer(r["ids"], np.int64), "vectors": np.frombuffer(r["vectors"]).reshape(-1, dim), "far": np.frombuffer(r["far"]), "children": []})
+                tree.append({"pivot": np.frombuffer(r["pivot"]), "radius": r["radius"], "ids": np.frombuffer(r["ids"], np.int64), "vectors": _exactly(np.frombuffer(r["vectors"], np.int64).reshape(-1, dim), wide[dim]), "far": np.frombuffer(r["far"]), "children": []})
                 if r["parent"] >= 0:
                     tree[r["parent"]]["children"].append(r["page"])
             for r, node in zip(rows, tree):
                 if node["children"]:
                     node["far"] = np.array([rows[c]["away"] for c in node["children"]])
                     node["radii"] = np.array([rows[c]["radius"] for c in node["children"]])
-            q, names = _rows(asked.column("v")), asked.column("query_id").to_numpy()
+            q, names = _exactly(_rows(asked.column("v")), wide[dim]), asked.column("query_id").to_numpy()
             known, who = seen[dim]
             for a in range(0, len(q), BLOCK):
                 part, own = q[a : a + BLOCK], names[a : a + BLOCK]
                 bound = np.full(len(part), -np.inf)
                 if len(known) > k:
-                    s = part @ known.T
+                    s = part @ known.astype(part.dtype).T
                     s[own[:, None] == who[None]] = -np.inf
-                    bound = np.partition(s, -k, 1)[:, -k]
+                    bound = np.partition(s, -k, 1)[:, -k].astype(np.float64)
+                    if q.dtype == np.longdouble:  # rounded down
+                        bound -= 1e-12 * np.sqrt((part * part).sum(1).astype(np.float64) * tops[dim])
                 scores, ids, _ = search(tree, part, own, k, tops[dim], bound)
                 real = np.isfinite(scores)
                 out["query_id"].append(np.broadcast_to(own[:, None], scores.shape)[real])
                 out["vec_id"].append(ids[real])
-                out["score"].append(scores[real].astype(np.int64))
+                out["score"].append(_whole(scores[real]))
         return pa.table({c: pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for c, x in out.items()})
 
     by_chunk = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
