@@ -64,11 +64,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Bytes of input for each partition that ``gathered`` leaves at least.
-GATHER_BYTES = 32 << 20
+GATHER_BYTES = 16 << 20
 
 
 def gathered(df: DataFrame, source: DataFrame) -> DataFrame:
-    """``df`` in fewer partitions, without a shuffle, before it is written: one for each 32 MB of ``source``, two for each core at least.
+    """``df`` in fewer partitions, without a shuffle, before it is written: one for each 16 MB of ``source``, two for each core at least.
 
     Each file that an executor writes costs the local file system a process or two, so
     a small table in many partitions would be mostly that. ``df`` must not number its rows by
@@ -233,10 +233,12 @@ def joined_classes(found: list[dict] | None) -> np.ndarray:
 def components(edges: DataFrame, source: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b) reaches.
 
-    Smallest labels spread along the edges, and each round also takes the label of
-    the label, so a chain of n nodes needs about log n rounds. A table is written
-    each round; nothing but the number of changed labels reaches the driver.
-    ``source``: the table whose size decides in how many files (see ``gathered``).
+    Each round, every node takes the smallest of itself and its neighbours, and the
+    edges are contracted: both ends renamed, repeated and closed ones dropped. So a
+    dense group is a few edges after one round. Nodes should sort as hashes do; then a
+    chain of n nodes, too, loses half of them each round. Tables are written each
+    round; whether an edge is left is all that reaches the driver. ``source``: the
+    table whose size decides in how many files (see ``gathered``).
     """
     from pyspark.sql import functions as F
 
@@ -245,19 +247,24 @@ def components(edges: DataFrame, source: DataFrame) -> DataFrame:
     def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
         return write_table(gathered(df, source), label)
 
-    both, edge_path = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels, path = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    left, left_path = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    names, name_path = None, ""
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread, mid = written(
-            labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "spread"
-        )
-        jump = spread.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        after, end = written(spread.join(jump, "label", "left").select("node", "old", F.least("label", "up").alias("label")), "labels")
-        changed = after.where("label <> old").limit(1).count()
-        drop_table(spark, mid)
-        drop_table(spark, path)
-        labels, path = after.select("node", "label"), end
-        if not changed:
-            drop_table(spark, edge_path)
-            return labels.withColumnRenamed("label", "component")
+        both = left.union(left.select("b", "a"))
+        up, up_path = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), "up")
+        if names is None:
+            names, name_path = up.withColumnRenamed("up", "component"), up_path
+        else:
+            now = names.join(up.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+            old, (names, name_path) = name_path, written(now, "components")
+            drop_table(spark, old)
+        a, b = (up.select(F.col("node").alias(c), F.col("up").alias("up_" + c)) for c in "ab")
+        moved = left.join(a, "a").join(b, "b").where("up_a <> up_b")
+        less, less_path = written(moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct(), "edges")
+        drop_table(spark, left_path)
+        if up_path != name_path:
+            drop_table(spark, up_path)
+        left, left_path = less, less_path
+        if left.isEmpty():
+            drop_table(spark, left_path)
+            return names
