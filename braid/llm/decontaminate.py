@@ -21,7 +21,8 @@ from braid.llm.common import gathered, materialize
 #: A word is a run of characters other than ASCII ones that are neither letter nor digit.
 _BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 GRAM = 3
-#: Benchmark fingerprints (16 bytes each) are broadcast up to this size; more are joined by shuffling, each key in ``SALT`` parts.
+#: Benchmark fingerprints (16 bytes each) and the hits of documents are broadcast up to this size each; beyond, both are
+#: joined by shuffling, a fingerprint in ``SALT`` parts.
 BROADCAST_BYTES, SALT = 32 << 20, 8
 
 
@@ -127,6 +128,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadc
     rows = kept(rows, "fingerprint-hits")
     # documents with a hit once more, for their words
     wanted = rows.where(F.size("hits") > 0).dropDuplicates(["key"]).select("key", "hits")
+    if (wanted.agg(F.sum(F.lit(32) + 16 * F.size("hits"))).first()[0] or 0) <= broadcast_bytes:
+        wanted = F.broadcast(wanted)  # no text is shuffled
     def each(said: Column) -> Column:
         return F.flatten(F.transform("hits", lambda p: F.transform(F.sequence(p["at"], p["until"] - 1), lambda i: F.struct(i.alias("i"), p["size"].alias("size"), _said(said, i, p["size"]).alias("said")))))
 
