@@ -49,7 +49,7 @@ def _return(positions: DataFrame, column: str, name: str) -> DataFrame:
 def _join(left: DataFrame, right: DataFrame) -> DataFrame:
     right = right.withColumnsRenamed({"doc_id": "_d", "row": "_r"})
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("row").eqNullSafe(F.col("_r"))
-    return left.join(right, on, "left").drop("_d", "_r")
+    return left.join(right.hint("merge"), on, "left").drop("_d", "_r")
 
 
 def repeated_windows(docs: DataFrame, run: int) -> DataFrame:
@@ -94,6 +94,7 @@ def line_dedup(docs: DataFrame, run: int = 2) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
     # the other columns travel as one, so their names meet no other
     df = docs.select(F.struct(*names).alias("all"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
+    # merged at every size, so that a small table shows what a large one needs
     df = _join(df, materialize(gathered(repeated_windows(docs, run), docs), "late-lines"))
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce("late", F.array().cast(_NONE)), lambda j: F.sequence(j, j + (run - 1))))))
     df = df.select("all", gone.alias("gone"), _split(F.col("all.text")).alias("lines"))
