@@ -47,11 +47,11 @@ class ParsedQuery:
 
 
 def parse_query(text: str | None) -> ParsedQuery:
-    """Terms to find and to exclude: quoted phrases or runs of non-space, without bare and/or, each once."""
+    """Terms to find and to exclude: quoted phrases or runs of non-space, each once; and/or are no terms to find."""
     found: tuple[dict, dict] = ({}, {})
     for minus, phrase, word in _TERM.findall(text or ""):
         term = (phrase or word).strip()
-        if term and term.casefold() not in ("and", "or"):
+        if term and (minus or term.casefold() not in ("and", "or")):
             found[bool(minus)].setdefault(term.casefold(), term)
     return ParsedQuery(tuple(found[0].values()), tuple(found[1].values()))
 
@@ -97,9 +97,9 @@ PARSERS = {"websearch": web_query, "plain": plain_query, "phrase": phrase_query}
 
 
 def build_tree(parsed: ParsedQuery, text: str, *, language: str, parser: str = "websearch", match: str = "any", max_terms: int = 200, strict_phrases: bool = False):
-    """Tree of a query's positive side; exclusions are handled apart, in both signals."""
+    """Tree of a query. ``any``: of its positive side. ``all``: of the whole text, as the parser reads it. Exclusions are also handled apart, in both signals."""
     if match == "all":
-        return PARSERS[parser](" ".join(f'"{t}"' if " " in t else t for t in parsed.positive), language)
+        return PARSERS[parser](text, language)
     parse = phrase_query if strict_phrases else (plain_query if parser == "websearch" else PARSERS[parser])
     return _all("or", [parse(t, language) for t in parsed.positive[:max_terms]])
 
@@ -209,12 +209,15 @@ def rank_frequency(tokens: Column, node) -> Column:
 
 
 def highlight(text: str, wanted: set[str], language: str, fragments: int = 2, least: int = 8, most: int = 30, start: str = "<mark>", stop: str = "</mark>", escape: bool = True) -> str:
-    """Up to ``fragments`` stretches of ``least`` to ``most`` words around hits, hits marked; the opening words if none hits."""
+    """Up to ``fragments`` stretches of ``least`` to ``most`` words around hits, hits marked; the opening words if none hits.
+
+    Words are taken from the text as it is, and each piece is escaped as it goes out.
+    """
     import regex
 
-    if escape:
-        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-            text = text.replace(a, b)
+    def out_of(piece: str) -> str:
+        return piece.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") if escape else piece
+
     spans = [(m.start(), m.end(), lexeme(m[0].lower(), language) in wanted) for m in regex.finditer(WORD, text)]
     hits = [i for i, s in enumerate(spans) if s[2]]
     if not spans:
@@ -229,9 +232,11 @@ def highlight(text: str, wanted: set[str], language: str, fragments: int = 2, le
         at = next((j for j, h in enumerate(hits) if h >= b), len(hits))
     out = []
     for a, b in parts or [(0, min(len(spans), least))]:
-        piece, place = [], spans[a][0]
+        piece, place = [], spans[a][0] if a else 0
         for s, e, hit in spans[a:b]:
-            piece.append(text[place:s] + (f"{start}{text[s:e]}{stop}" if hit else text[s:e]))
+            piece.append(out_of(text[place:s]) + (f"{start}{out_of(text[s:e])}{stop}" if hit else out_of(text[s:e])))
             place = e
+        if b == len(spans):
+            piece.append(out_of(text[place:]))
         out.append("".join(piece))
     return " ... ".join(out)

@@ -97,7 +97,7 @@ def test_metrics_and_weights(table):
 def test_highlight_escapes(spark):
     rows = spark.createDataFrame([(1, "<b>renewal</b> & more", [1.0, 0.0])], "id long, content string, embedding array<float>")
     s = HybridSearch(rows, SearchConfig(text_column="content", vector_column="embedding"))
-    assert s.search("renewal", highlight=True).first()["highlight"] == "b&gt;<mark>renewal</mark>&lt;/b&gt; &amp; more"
+    assert s.search("renewal", highlight=True).first()["highlight"] == "&lt;b&gt;<mark>renewal</mark>&lt;/b&gt; &amp; more"
 
 
 def test_explain_finds(table):
@@ -109,6 +109,21 @@ def test_explain_finds(table):
     assert "candidates" in explain(s, "notice", [1.0, 0.0]).to_text()
 
 
+def test_highlight_takes_no_words_from_entities():
+    assert T.highlight("<b>cats</b> lt & more", {"lt", "amp"}, "simple") == "&lt;b&gt;cats&lt;/b&gt; <mark>lt</mark> &amp; more"
+
+
+def test_all_reads_the_whole_text():
+    tree = lambda text, parser="websearch": T.build_tree(T.parse_query(text), text, language="simple", parser=parser, match="all")
+    assert tree("cat or dog") == ("or", (("lex", "cat"), ("lex", "dog")))
+    assert tree('cat "a dog" -bird') == ("and", (("lex", "cat"), ("phrase", (("a", 0), ("dog", 1))), ("not", ("lex", "bird"))))
+    assert tree('"big cat" dog', "plain") == ("and", (("lex", "big"), ("lex", "cat"), ("lex", "dog")))
+
+
+def test_negated_and_or_are_exclusions():
+    assert T.parse_query("cat -or -and and") == T.ParsedQuery(("cat",), ("or", "and"))
+
+
 def test_parse_query():
     parsed = T.parse_query('renewal "notice period" -pricing Renewal or AND "or"')
     assert parsed.positive == ("renewal", "notice period") and parsed.negative == ("pricing",)
