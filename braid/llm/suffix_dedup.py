@@ -5,8 +5,9 @@ the last of equals. Equal windows have equal minimizers at the same place, so on
 windows whose minimizer occurs in a second document can repeat. Those windows travel
 as short runs to the bucket of their minimizer, where their suffixes are sorted
 deep-shallow: multikey quicksort takes 8-byte characters to a shallow depth, then a
-blind trie orders each group that still shares its whole prefix. Suffixes equal to
-the full depth form a class; all but those of its smallest doc_id are removed.
+blind trie orders each group that still shares its whole prefix. Its leaves hold
+suffixes whose bytes are equal to the full depth; all but those of its smallest
+doc_id are removed.
 
 The texts are written once, packed in compressed blocks, and what is found returns
 to a block by its number. A block sends each minimizer and each equal run once, so
@@ -32,6 +33,8 @@ SHALLOW_WORDS = 4
 BLOCK_BYTES, CENSUS_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 4 << 20, 8 << 20, 1 << 20, 100_000
 #: Bytes whose windows are hashed at once.
 PART_BYTES = 1 << 18
+#: Bits of a place beside a gram's hash: the same everywhere, so that equal windows choose alike in parts of any size.
+PLACE_BITS = 32
 _LAST = np.iinfo(np.int64).max
 
 
@@ -64,7 +67,7 @@ def _minimizers(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     sums, grams = prefix_hash(data), len(data) - GRAM + 1
     at = np.arange(grams)
     h = span_hash(sums, at, at + GRAM) >> np.uint64(1)
-    bits = np.uint64(max(1, int(grams).bit_length()))
+    bits = np.uint64(PLACE_BITS)
     # the hash's high bits, then the place, later ones first: one minimum gives both
     key = (h >> bits << bits) | (np.uint64(grams) - at.astype(np.uint64))
     span, width = length - GRAM + 1, 1
@@ -160,31 +163,32 @@ class BlindTrie:
         self.root: list | int | None = None
         self.strings: list[bytes] = []
 
-    def insert(self, s: bytes) -> None:
-        """Goes down without comparing, meets some leaf, compares once, and parts the path there."""
+    def insert(self, s: bytes) -> int:
+        """Goes down without comparing, meets some leaf, compares once, and parts the path there; the number of the leaf that holds ``s``."""
         number = len(self.strings)
         self.strings.append(s)
         if self.root is None:
             self.root = number
-            return
+            return number
         node = self.root
         while isinstance(node, list):
             node = node[1].get(s[node[0]], next(iter(node[1].values())))
         other = self.strings[node]
         depth = next((i for i, (x, y) in enumerate(zip(s, other)) if x != y), None)
         if depth is None:
-            return
+            return node
         above, node = None, self.root
         while isinstance(node, list) and node[0] < depth:
             above, node = node, node[1][s[node[0]]]
         if isinstance(node, list) and node[0] == depth:
             node[1][s[depth]] = number
-            return
+            return number
         made = [depth, {other[depth]: node, s[depth]: number}]
         if above is None:
             self.root = made
         else:
             above[1][s[above[0]]] = made
+        return number
 
     def ordered(self) -> list[int]:
         out, stack = [], [self.root]
@@ -217,29 +221,38 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[n
         order, group = order[many], group[many]
     if not len(order) or not tail:
         return order, group
-    rest = np.zeros(len(order), np.uint64)
-    with np.errstate(over="ignore"):
-        for at in [*range(length - tail, length - 8, 8), length - 8]:
-            rest = mix(rest + np.ascontiguousarray(eight[starts[order] + at]).view(">u8").ravel().astype(np.uint64))
+    tails = [np.ascontiguousarray(eight[starts[order] + at]).view(np.uint64).ravel() for at in (*range(length - tail, length - 8, 8), length - 8)]
     new = np.diff(group, prepend=-1) != 0
     leader = np.flatnonzero(new)[np.cumsum(new) - 1]
     mixed = np.zeros(int(group.max()) + 1, bool)
-    mixed[group[rest != rest[leader]]] = True
+    mixed[group[np.any([t != t[leader] for t in tails], axis=0)]] = True
     rank = np.zeros(len(order), np.int64)
     odd = np.flatnonzero(mixed[group])
     if len(odd):
-        by = odd[np.lexsort((rest[odd], group[odd]))]
+        # a hash brings equals together, bytes decide whether they are
+        rest = np.zeros(len(odd), np.uint64)
+        with np.errstate(over="ignore"):
+            for t in tails:
+                rest = mix(rest + t[odd])
+        to = np.lexsort((rest, group[odd]))
+        by, rest = odd[to], rest[to]
         first = np.ones(len(by), bool)
-        first[1:] = (group[by][1:] != group[by][:-1]) | (rest[by][1:] != rest[by][:-1])
-        heads, which = by[first], np.cumsum(first) - 1
+        first[1:] = (group[by][1:] != group[by][:-1]) | (rest[1:] != rest[:-1])
+        while True:
+            heads, which = by[first], np.cumsum(first) - 1
+            unlike = np.any([t[by] != t[heads][which] for t in tails], axis=0)
+            if not unlike.any():
+                break
+            first |= unlike
         ranks = np.zeros(len(heads), np.int64)
         for part in np.split(np.arange(len(heads)), np.flatnonzero(np.diff(group[heads])) + 1):
             trie = BlindTrie()
+            leaves = []
             for i in part:
                 s = int(starts[order[heads[i]]]) + length - tail
-                trie.insert(text[s : s + tail].tobytes())
-            for r, i in enumerate(trie.ordered()):
-                ranks[part[i]] = r
+                leaves.append(trie.insert(text[s : s + tail].tobytes()))
+            place = {leaf: r for r, leaf in enumerate(trie.ordered())}
+            ranks[part] = [place[leaf] for leaf in leaves]
         rank[by] = ranks[which]
     by = np.lexsort((rank, group))
     order, group, rank = order[by], group[by], rank[by]

@@ -88,6 +88,34 @@ def test_blind_trie_orders():
     assert [strings[i] for i in trie.ordered()] == sorted(strings)
 
 
+def test_suffix_classes_are_those_of_the_bytes(monkeypatch):
+    rng = np.random.default_rng(2)
+    heads = [bytes(rng.integers(97, 99, 34).astype(np.uint8)) for _ in range(4)]
+    whole = [heads[rng.integers(4)] + bytes(rng.integers(97, 99, 16).astype(np.uint8) if rng.integers(2) else b"the same tail 16") for _ in range(400)]
+    text, starts = np.frombuffer(b"".join(whole), np.uint8), np.arange(400) * 50
+    want = sorted(tuple(i for i in range(400) if whole[i] == s) for s in set(whole) if whole.count(s) > 1)
+    for mixing in (suffix_dedup.mix, lambda x: x * np.uint64(0)):  # the second makes all hashes collide
+        monkeypatch.setattr(suffix_dedup, "mix", mixing)
+        order, group = suffix_dedup.suffix_classes(text, starts, 50)
+        assert (np.diff(group) >= 0).all()
+        found = sorted(tuple(sorted(int(i) for i in order[group == g])) for g in set(group))
+        assert [x for x in found if len(x) > 1] == want
+        shown = [whole[i] for i in order]
+        assert shown == sorted(shown)
+
+
+def test_minimizers_do_not_depend_on_the_part():
+    rng = np.random.default_rng(3)
+    shared = rng.integers(97, 123, 3000).astype(np.uint8)
+    found = []
+    for before in (0, 70, 200_000):
+        data = np.concatenate((rng.integers(97, 123, before).astype(np.uint8), shared))
+        first, count, h, same = suffix_dedup.minimizer_runs(data, np.array([0, before, before + 3000]), 50)
+        here = first >= before
+        found.append((first[here] - before, count[here], h[here], same[here]))
+    assert all((x == y).all() for f in found[1:] for x, y in zip(found[0], f))
+
+
 def test_decontaminate(spark, docs, none):
     passage = texts()[20][1].split("\n")[1]
     items = [(1, passage), (2, "one TWO"), (3, None), (4, ""), (5, "nowhere to be found in any of these texts at all"), (1, passage), (None, "last 3")]
