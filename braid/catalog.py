@@ -15,6 +15,7 @@ from braid.operators import doctor as D
 from braid.operators.explain import candidate_stats, effective_weights, locate
 from braid.operators.search import HybridSearch, batch_vector_search
 from braid.sources.ivf import build_ivf
+from braid.sources.postings import write_postings
 
 TEXT, TERMS, QUERY_ROW = "ndon estion ingor", ("ndon", "estion", "ingor"), 7
 CONFIG = dict(text_column="content", vector_column="embedding", id_column="id", language="simple", filter_columns=("lang", "source"), extra_columns=("lang",))
@@ -112,16 +113,39 @@ def _batch(spark, sf_dir):
     return batch_vector_search(e.withColumnRenamed("vec_id", "id"), queries, 10, "cosine").select("query_id", "id", "distance", "rank")
 
 
-def _ivf_recall(spark, sf_dir):
-    """Mean recall@10 over every row whose id is divisible by 100, at 1, 4 (the default of 20 lists) and all lists."""
+def _folder(spark, name: str) -> str:
+    """A new folder that all executors share."""
     import tempfile
     import uuid
 
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "id")
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    index = build_ivf(e, f"{named or tempfile.mkdtemp()}/ivf-{uuid.uuid4().hex}", "id", "embedding", lists=20)
+    return f"{named or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+
+
+def _foreign(spark, sf_dir):
+    """Filter by null, of a column that has nulls."""
+    table = corpus(spark, sf_dir).withColumn("foreign_lang", F.nullif("lang", F.lit("en")))
+    search = HybridSearch(table, SearchConfig(**CONFIG | {"filter_columns": ("foreign_lang",)}))
+    return search.search(TEXT, _vector(spark, sf_dir), filters={"foreign_lang": None}).drop("content")
+
+
+def _indexed(spark, sf_dir):
+    """A search through written postings and all lists of a written vector index, which is exact."""
+    config = SearchConfig(**CONFIG)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    words = write_postings(docs, config, _folder(spark, "postings"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    index = build_ivf(e, _folder(spark, "ivf"), "id", "embedding", lists=20)
+    search = HybridSearch(corpus(spark, sf_dir), config, index, words, probes=20)
+    return search.search(TEXT + " -ated", _vector(spark, sf_dir), filters={"lang": ["en", "de"]}).drop("content")
+
+
+def _ivf_recall(spark, sf_dir):
+    """Mean recall@10 over every row whose id is divisible by 100, at 1, 4 (the default of 20 lists) and all lists."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    index = build_ivf(e, _folder(spark, "ivf"), "id", "embedding", lists=20)
     queries = e.where((F.col("id") % 100 == 0) & F.col("embedding").isNotNull()).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     probes = (1, 4, 20)
     truth = batch_vector_search(e, queries, 10, "cosine").select("query_id", "id").distinct()
@@ -133,26 +157,34 @@ def _ivf_recall(spark, sf_dir):
 
 _h = lambda **a: partial(_hybrid, **a)
 _C = lambda f: lambda spark, sf_dir: f(corpus(spark, sf_dir))
-_PHRASE = "list_bool_or(list_transform(range(1, len(toks)), lambda i: toks[i] = 'of' AND toks[i + 1] = 'the'))"
+_PAIRS = "list_filter(range(1, len(toks)), lambda i: toks[i] = 'of' AND toks[i + 1] = 'the')"
+_PHRASE_RANK = "(" + " + ".join(f"coalesce(list_sum(list_transform(range(1, len(list_filter(toks, lambda t: t = '{w}')) + 1), lambda j: CAST(0.1 AS DOUBLE) / (j * j))), 0) / 1.64493406685" for w in ("of", "the")) + ") / 2.0"
+# of two words, the minimal covers lie between neighbouring hits of different words
+_HITS = "list_filter(range(1, len(toks) + 1), lambda i: toks[i] IN ('of', 'the'))"
+_TWO = f"coalesce(list_sum(list_transform(list_filter(list_zip({_HITS}[:-2], {_HITS}[2:]), lambda z: toks[z[1]] <> toks[z[2]]), lambda z: CAST(0.1 AS DOUBLE) / (z[2] - z[1]))), 0)"
+# a phrase without gaps and a word are covers without gaps
+_DENSE = f"coalesce(list_sum(list_transform(range(0, len({_PAIRS}) + len(list_filter(toks, lambda t: t = 'ndon'))), lambda i: CAST(0.1 AS DOUBLE))), 0)"
+_ROUND = lambda q: lambda s, d: q(s, d).withColumn("text_score", F.round("text_score", 12))
 
 #: name -> (query, SQL or None)
 _ALL: dict[str, tuple[Callable, str | None]] = {
     "hybrid_rrf": (_h(), _sql()),
     **{f"vector_topk_{m}": (_h(text=None, config={"metric": m}), _sql(m, None)) for m in ("cosine", "l2", "ip", "l1")},
     "text_topk_any": (_h(vector=False), _sql(None)),
-    "text_topk_all_simple": (_h(text="the of", vector=False, config={"text_match": "all"}), None),
+    "text_topk_all_simple": (_h(text="the of", vector=False, config={"text_match": "all"}), _sql(None, "list_has_all(toks, ['of', 'the'])", _TWO)),
     "hybrid_weighted": (_h(fusion="weighted"), _sql(fusion="weighted")),
     "hybrid_weights_k": (_h(config={"weights": Weights(1.5, 0.5), "k": 10}), _sql(wv=1.5, wt=0.5, k=10)),
     "hybrid_filter_eq": (_h(filters={"lang": "en"}), _sql(where="lang = 'en'")),
     "hybrid_filter_in": (_h(filters={"lang": ["en", "de"], "source": ["src1", "src2", "src3"]}), _sql(where="lang IN ('en', 'de') AND source IN ('src1', 'src2', 'src3')")),
     "hybrid_filter_null": (_h(filters={"lang": None}), _sql(where="lang IS NULL")),
+    "hybrid_filter_null_rows": (_foreign, _sql(where="nullif(lang, 'en') IS NULL")),
     "hybrid_filter_empty": (_h(filters={"lang": []}), _sql(where="false")),
     "hybrid_exclusion": (_h(text=TEXT + " -ated"), _sql(where="NOT list_contains(toks, 'ated')")),
     "exclusion_only": (_h(text="-ated"), _sql(match=None, where="NOT list_contains(toks, 'ated')")),
     "hybrid_page2": (_h(offset=10), _sql(offset=10)),
     "hybrid_near_miss": (_h(near_miss=5), _sql(limit=15)),
     "hybrid_recency": (_recency, _sql(recency=True)),
-    "phrase_match": (_h(text='"of the"', vector=False, config={"strict_phrases": True, "rank_function": "rank"}), None),
+    "phrase_match": (_ROUND(_h(text='"of the"', vector=False, config={"strict_phrases": True, "rank_function": "rank"})), _sql(None, f"len({_PAIRS}) > 0", f"round({_PHRASE_RANK}, 12)")),
     "rank_or": (lambda s, d: _hybrid(s, d, vector=False, config={"rank_function": "rank"}).withColumn("text_score", F.round("text_score", 12)), _sql(None, score=f"round({_RANK}, 12)")),
     "candidate_stats": (_stats, _sql(tail=_STATS)),
     "effective_weights": (_weights, _sql(tail=_WEIGHTS)),
@@ -166,8 +198,9 @@ _ALL: dict[str, tuple[Callable, str | None]] = {
     ),
     "exact_ground_truth_batch": (_batch, "SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), e.vec_id) AS INTEGER) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0) WHERE rank <= 10"),
     "hybrid_english": (_h(config={"language": "english"}), None),
-    "hybrid_cover_density": (_h(text='"of the" ndon', config={"strict_phrases": True}), None),
+    "hybrid_cover_density": (_h(text='"of the" ndon', config={"strict_phrases": True}), _sql(match=f"(len({_PAIRS}) > 0 OR list_contains(toks, 'ndon'))", score=_DENSE)),
     "highlight_page": (_h(highlight=True), None),
+    "hybrid_indexed": (_indexed, _sql(where="NOT list_contains(toks, 'ated') AND lang IN ('en', 'de')")),
     "ivf_recall": (_ivf_recall, None),
 }
 

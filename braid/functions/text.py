@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braid.functions.stem import lexeme
@@ -114,6 +114,17 @@ def lexemes(node) -> list[str]:
     return list(dict.fromkeys(w for n in node[1] for w in lexemes(n)))
 
 
+def lexemes_all(node) -> list[str]:
+    """The lexemes of a tree, those under a ``not`` too."""
+    if not node:
+        return []
+    if node[0] == "not":
+        return lexemes_all(node[1])
+    if node[0] in ("lex", "phrase"):
+        return lexemes(node)
+    return list(dict.fromkeys(w for n in node[1] for w in lexemes_all(n)))
+
+
 def matches(tokens: Column, node) -> Column:
     """Whether analysed texts satisfy a tree."""
     if not node:
@@ -133,6 +144,52 @@ def matches(tokens: Column, node) -> Column:
     return reduce((lambda a, b: a & b) if kind == "and" else (lambda a, b: a | b), parts)
 
 
+def needs_presence(node) -> bool:
+    """Whether only texts with at least one of the tree's lexemes can satisfy it."""
+    if not node:
+        return True
+    kind, value = node
+    if kind in ("and", "or"):
+        return (any if kind == "and" else all)(needs_presence(n) for n in value)
+    return kind != "not"
+
+
+def matches_places(places: Column, node) -> Column:
+    """Like ``matches``, of a map from lexeme to its positions that has at least the tree's lexemes."""
+    if not node:
+        return F.lit(False)
+    kind, value = node
+    if kind == "lex":
+        return F.map_contains_key(places, value)
+    if kind == "phrase":
+        none = F.array().cast("array<int>")
+        first, rest = F.coalesce(F.try_element_at(places, F.lit(value[0][0])), none), value[1:]
+        return F.exists(first, lambda p: reduce(lambda a, b: a & b, [F.array_contains(F.coalesce(F.try_element_at(places, F.lit(w)), none), p + at) for w, at in rest]))
+    if kind == "not":
+        return ~matches_places(places, value)
+    return reduce((lambda a, b: a & b) if kind == "and" else (lambda a, b: a | b), [matches_places(places, n) for n in value])
+
+
+def rank_places(found: DataFrame, node, how: str) -> DataFrame:
+    """id, text_score of rows (id, places): ``rank_cd`` or ``rank_frequency`` of a map from lexeme to positions."""
+    # places of lexemes under a not have no part in a score
+    words, places = lexemes(node), F.col("places")
+    if how == "rank" or not words:
+        counts = [F.coalesce(F.size(F.try_element_at(places, F.lit(w))), F.lit(0)) for w in words]
+        return found.select("id", (_frequency(counts) if words else F.lit(0.0)).alias("text_score"))
+    places = F.map_filter(places, lambda w, _: w.isin(words))
+    if only_words(node) is not None:
+        return found.select("id", (F.size(F.flatten(F.map_values(places))) * F.lit(0.1)).alias("text_score"))
+
+    def covers(frames):
+        for f in frames:
+            hits = [sorted((int(p), w) for w, ps in zip(ws, of) for p in ps) for ws, of in zip(f["words"], f["of"])]
+            yield pd.DataFrame({"id": f["id"], "text_score": pd.Series([covers_of(h, node) for h in hits], index=f.index, dtype=float)})
+
+    rows = found.select("id", F.map_keys(places).alias("words"), F.map_values(places).alias("of"))
+    return rows.mapInPandas(covers, f"id {found.schema['id'].dataType.simpleString()}, text_score double")
+
+
 def only_words(node) -> list[str] | None:
     """The lexemes of a plain OR, or None for a tree with more structure."""
     if node and node[0] == "lex":
@@ -157,7 +214,11 @@ def _holds(node, present: dict[str, set]) -> bool:
 def cover_density(tokens: list[str], node) -> float:
     """Sum over minimal covers of 0.1 / (1 + places in the cover that it doesn't use)."""
     wanted = set(lexemes(node))
-    hits = [(i, w) for i, w in enumerate(tokens) if w in wanted]
+    return covers_of([(i, w) for i, w in enumerate(tokens) if w in wanted], node)
+
+
+def covers_of(hits: list[tuple[int, str]], node) -> float:
+    """``cover_density`` of the places, in order, where the tree's lexemes are."""
     total, start = 0.0, 0
     while start < len(hits):
         present: dict[str, set] = {}
@@ -201,11 +262,17 @@ def rank_frequency(tokens: Column, node) -> Column:
     if not words:
         return F.lit(0.0)
 
-    def one(word: str) -> Column:
-        n = F.size(F.filter(tokens, lambda t: t == word))
+    def count(word: str) -> Column:
+        return F.size(F.filter(tokens, lambda t: t == word))
+
+    return _frequency([count(w) for w in words])
+
+
+def _frequency(counts: list[Column]) -> Column:
+    def one(n: Column) -> Column:
         return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, j: s + F.lit(0.1) / (j * j)) / F.lit(1.64493406685)).otherwise(0.0)
 
-    return reduce(lambda a, b: a + b, [one(w) for w in words]) / F.lit(float(len(words)))
+    return reduce(lambda a, b: a + b, [one(n) for n in counts]) / F.lit(float(len(counts)))
 
 
 def highlight(text: str, wanted: set[str], language: str, fragments: int = 2, least: int = 8, most: int = 30, start: str = "<mark>", stop: str = "</mark>", escape: bool = True) -> str:

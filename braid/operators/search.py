@@ -3,10 +3,14 @@
 Filters and exclusions stand below both candidate limits; each limit is a top-k with the
 id as tiebreaker, and ranks are taken over what it leaves. The fused candidates, at most
 twice the pool, are broadcast to fetch the columns of the page.
+
+With postings the text side reads those of the query's lexemes, and with a vector index
+the vector side reads the lists nearest to the query, in place of the table.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from datetime import datetime
 
 import pandas as pd
@@ -14,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from braid.config import FUSIONS, SearchConfig
+from braid.config import FUSIONS, METRICS, SearchConfig
 from braid.functions import text as T
 from braid.functions.vector import distance, literal
 from braid.operators.nearest import SLICE_BYTES, nearest
@@ -36,15 +40,37 @@ def filter_column(filters: dict, allowed: tuple[str, ...]) -> Column:
     return out
 
 
+@dataclass
+class SearchResult:
+    """A row of a page. ``get`` gives a computed or fetched column by name."""
+
+    id: object
+    score: float
+    vector_rank: int | None
+    text_rank: int | None
+    matched_by: str
+    columns: dict = field(default_factory=dict)
+
+    def get(self, name: str, default=None):
+        return self.columns.get(name, default)
+
+
 class HybridSearch:
-    """Searches ``table`` (any DataFrame) as ``config`` describes it. Ids must be unique and not null."""
+    """Searches ``table`` (any DataFrame) as ``config`` describes it. Ids must be unique and not null.
+
+    ``index`` (an ``IvfIndex``) and ``postings`` (``Postings``) of the same rows replace scans of
+    the table. ``probes`` lists of the index are read; where filters or exclusions leave fewer
+    rows than the pool, twice as many, and so on to all.
+    """
 
-    def __init__(self, table: DataFrame, config: SearchConfig) -> None:
+    def __init__(self, table: DataFrame, config: SearchConfig, index=None, postings=None, probes: int | None = None) -> None:
         needed = [config.id_column, config.text_column, config.vector_column, *config.filter_columns, *config.extra_columns]
         missing = [c for c in needed + ([config.recency.column] if config.recency else []) if c not in table.columns]
         if missing:
             raise ValueError(f"no such column: {', '.join(missing)}")
-        self.table, self.config = table, config
+        if index is not None and METRICS[index.metric] != METRICS[config.metric]:
+            raise ValueError(f"the index is for {index.metric}, the search uses {config.metric}")
+        self.table, self.config, self.index, self.postings, self.probes = table, config, index, postings, probes
 
     def tokens(self) -> Column:
         c = self.config
@@ -81,8 +107,13 @@ class HybridSearch:
             if not c.filter_columns:
                 raise ValueError("no filter_columns are configured")
             out = out.where(filter_column(filters, c.filter_columns))
-        out = out.withColumn("_tokens", self.tokens())
         bad = [n for n in (T.phrase_query(t, c.language) for t in parsed.negative) if n]
+        if self.postings is not None:
+            if bad:
+                gone = self.postings.find(("or", tuple(bad))).select(F.col("id").alias("_gone"))
+                out = out.join(gone, F.col(c.id_column) == F.col("_gone"), "left_anti")
+            return out
+        out = out.withColumn("_tokens", self.tokens())
         if bad:
             out = out.where(~F.coalesce(T.matches(F.col("_tokens"), ("or", tuple(bad))), F.lit(False)))
         return out
@@ -95,14 +126,25 @@ class HybridSearch:
         parsed, tree, by_vector, by_text = self.signals(text, embedding)
         base = self.base(parsed, filters)
         base = base.withColumn("id", F.col(c.id_column))
+        narrowed = bool(filters) or bool(parsed.negative)
         sides = []
         if by_vector:
-            near = base.where(F.col(c.vector_column).isNotNull()).select("id", distance(c.vector_column, literal(embedding), c.metric).alias("vector_distance"))
+            if self.index is not None:
+                near = self._probed(embedding, base.select("id") if narrowed else None, pool)
+            else:
+                near = base.where(F.col(c.vector_column).isNotNull()).select("id", distance(c.vector_column, literal(embedding), c.metric).alias("vector_distance"))
             near = near.orderBy("vector_distance", "id").limit(pool)
             sides.append(near.withColumn("vector_rank", F.rank().over(W.orderBy("vector_distance")).cast("long")))
         if by_text:
-            score = (T.rank_cd if c.rank_function == "rank_cd" else T.rank_frequency)(F.col("_tokens"), tree) if tree else F.lit(0.0)
-            found = base.where(T.matches(F.col("_tokens"), tree)).select("id", score.alias("text_score")).orderBy(F.desc("text_score"), "id").limit(pool)
+            if tree and self.postings is not None and T.needs_presence(tree):
+                found = self.postings.find(tree)
+                found = found.join(base.select("id"), "id", "left_semi") if narrowed else found
+                found = T.rank_places(found, tree, c.rank_function)
+            else:
+                rows = base if "_tokens" in base.columns else base.withColumn("_tokens", self.tokens())
+                score = (T.rank_cd if c.rank_function == "rank_cd" else T.rank_frequency)(F.col("_tokens"), tree) if tree else F.lit(0.0)
+                found = rows.where(T.matches(F.col("_tokens"), tree)).select("id", score.alias("text_score"))
+            found = found.orderBy(F.desc("text_score"), "id").limit(pool)
             sides.append(found.withColumn("text_rank", F.rank().over(W.orderBy(F.desc("text_score"))).cast("long")))
         both = sides[0] if len(sides) == 1 else sides[0].join(sides[1], "id", "full_outer")
         for name, kind in (("vector_rank", "long"), ("vector_distance", "double"), ("text_rank", "long"), ("text_score", "double")):
@@ -115,6 +157,23 @@ class HybridSearch:
         both = both.withColumn("vector_contribution", F.coalesce(v, F.lit(0.0))).withColumn("text_contribution", F.coalesce(t, F.lit(0.0)))
         return both.withColumn("fused_score", F.col("vector_contribution") + F.col("text_contribution"))
 
+    def _probed(self, embedding, kept: DataFrame | None, pool: int) -> DataFrame:
+        """id, vector_distance of the index's rows in the lists read, less those not in ``kept``."""
+        vector, probes, lists = literal(embedding), self.probes or self.index.probes, len(self.index.centres)
+        while True:
+            rows = self.index.probe(embedding, probes)
+            if kept is not None:
+                rows = rows.join(kept, "id", "left_semi")
+            if kept is None or probes >= lists or rows.limit(pool).count() >= pool:
+                return rows.select("id", distance("v", vector, self.config.metric).alias("vector_distance"))
+            probes = min(2 * probes, lists)
+
+    def results(self, *args, **how) -> list[SearchResult]:
+        """``search``, with the page's rows as objects."""
+        page = self.search(*args, **how)
+        rows = [r.asDict() for r in page.withColumn("matched_by", self.matched_by()).collect()]
+        return [SearchResult(*(r[c] for c in ("id", "score", "vector_rank", "text_rank", "matched_by")), r) for r in rows]
+
     def search(
         self, text: str | None = None, embedding=None, *, limit: int = 10, offset: int = 0, filters: dict | None = None, candidate_limit: int | None = None, near_miss: int = 0, highlight: bool = False, fusion: str | None = None, as_of: datetime | None = None
     ) -> DataFrame:

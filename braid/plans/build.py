@@ -54,6 +54,7 @@ def build_plan(table: DataFrame, config: SearchConfig, rows: int | None = None)
     if config.tokens_column is None:
         steps.append(Step("write the table with a tokens column", "else every search analyses every text", True))
     n = table.count() if rows is None else rows
+    steps.append(Step("write postings", "a text search then reads those of its lexemes only", n >= 10_000))
     steps.append(Step(f"build an IVF index with {ivf_lists(n)} lists", f"{n} rows; a search then reads the nearest lists only", n >= 10_000))
     if config.filter_columns:
         steps.append(Step(f"partition or cluster by {', '.join(config.filter_columns)}", "filters then skip files", False))
@@ -62,9 +63,3 @@ def build_plan(table: DataFrame, config: SearchConfig, rows: int | None = None)
 
 def with_tokens(table: DataFrame, config: SearchConfig, name: str = "tokens") -> DataFrame:
     return table.withColumn(name, analyze(F.col(config.text_column), config.language))
-
-
-def postings(table: DataFrame, config: SearchConfig) -> DataFrame:
-    """lexeme, id, positions: sorted by lexeme on writing, a filter on it skips row groups."""
-    rows = table.select(F.col(config.id_column).alias("id"), F.posexplode(analyze(F.col(config.text_column), config.language)).alias("p", "lexeme")).where("lexeme <> ''")
-    return rows.groupBy("lexeme", "id").agg(F.sort_array(F.collect_list("p")).alias("positions"))

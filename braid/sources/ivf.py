@@ -61,12 +61,20 @@ class IvfIndex:
         self.centres, self.metric, self.size = np.array([r["centre"] for r in held]), held[0]["metric"], held[0]["rows"]
 
     def search(self, vector, k: int, probes: int | None = None) -> DataFrame:
-        """id, distance of the k nearest in the probed lists; the filter on ``list`` prunes partitions."""
+        """id, distance of the k nearest in the probed lists."""
+        near = self.probe(vector, probes).select("id", distance("v", literal(vector), self.metric).alias("distance"))
+        return near.orderBy("distance", "id").limit(k)
+
+    @property
+    def probes(self) -> int:
+        return ivf_probes(len(self.centres))
+
+    def probe(self, vector, probes: int | None = None) -> DataFrame:
+        """The rows in the lists with the nearest centres; the filter on ``list`` prunes partitions."""
         q = np.array(vector, float)
         unit = q / max(np.linalg.norm(q), 1e-12) if self.metric == "cosine" else q
-        order = ((self.centres - unit) ** 2).sum(1).argsort(kind="stable")[: probes or ivf_probes(len(self.centres))]
-        near = self.rows.where(F.col("list").isin([int(i) for i in order])).select("id", distance("v", literal(vector), self.metric).alias("distance"))
-        return near.orderBy("distance", "id").limit(k)
+        order = ((self.centres - unit) ** 2).sum(1).argsort(kind="stable")[: probes or self.probes]
+        return self.rows.where(F.col("list").isin([int(i) for i in order]))
 
     def probed(self, queries: np.ndarray, count: int) -> np.ndarray:
         """Boolean matrix (queries x lists): the ``count`` lists with the nearest centres of each query."""
@@ -76,8 +84,10 @@ class IvfIndex:
         np.put_along_axis(out, near, True, 1)
         return out
 
-    def search_batch(self, queries: DataFrame, k: int, probes: int | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-        """query_id, id, distance, rank of many queries (query_id, vector): one pass over the index for each slice, in which a list's rows meet the queries that probe it."""
-        count = probes or ivf_probes(len(self.centres))
+    def search_batch(self, queries: DataFrame, k: int, probes: int | None = None, slice_bytes: int = SLICE_BYTES, kept: DataFrame | None = None) -> DataFrame:
+        """query_id, id, distance, rank of many queries (query_id, vector): one pass over the index for each slice, in which a list's rows meet the queries that probe it. Only rows whose id is in ``kept``, if given."""
+        count = probes or self.probes
         rows = self.rows.select("id", F.col("v").alias("vector"), "list")
+        if kept is not None:
+            rows = rows.join(kept.select("id"), "id", "left_semi")
         return nearest(rows, queries, k, self.metric, slice_bytes, lambda q: self.probed(q, count)).select("query_id", "id", "distance", "rank")
