@@ -17,8 +17,9 @@ component then meet the members of other components. In a large group of copies
 all members are in the largest component by then. What remains are members that no
 leader links and no filter rules out; each of those is held against its list.
 
-A sketch that holds the whole set decides a pair exactly; texts are read only of
-larger sets whose sketches say that they may link. With k = 512, ``SIGMAS`` = 5.6
+Two sketches that hold the whole sets decide a pair exactly; texts are read only of
+sets that a set beyond its sketch may link with, and compared only where sketches say
+that they may link. With k = 512, ``SIGMAS`` = 5.6
 standard deviations of slack keep the chance of missing a pair under 1e-7.
 """
 
@@ -376,7 +377,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, k: int =
     lists = kept(_lists(entries), "lists")
     listed = lists.groupBy("node").agg(F.min("n").alias("n"))
     held = kept(entries.where("sketch is not null").select("node", "sketch").dropDuplicates(["node"]).join(listed, "node"), "list-sketches")
-    texts = kept(_texts(docs, nodes.join(held.where(F.col("n") > k).select("node"), "node").select("key", "node"), width), "texts")
+    # a set beyond its sketch may link with one inside
+    least = min(k + 1, -(-percent * (k + 1) // 100))
+    texts = kept(_texts(docs, nodes.join(held.where(F.col("n") >= least).select("node"), "node").select("key", "node"), width), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
         """Decided by sketches first, then by the texts of what these leave open."""
