@@ -11,11 +11,14 @@ both have left from there on are fewer than such a pair shares (positional filte
 their sizes are too far apart (length filter).
 
 A list is not turned into all its pairs. Each member first meets the list's leaders,
-up to ``LEADERS`` nodes that hashes pick, the same in all lists that hold them. The
-links found are contracted to components, and only members outside a list's largest
-component then meet the members of other components. In a large group of copies nearly
-all members are in the largest component by then. What remains are members that no
-leader links and no filter rules out; each of those is held against its list.
+up to ``LEADERS`` nodes, mostly the same in all lists that hold them: half are those
+with the fewest values rarer than the list's, which in a group of copies are nearest to
+all others, half are picked by hashes. The links found are contracted to components,
+and only members outside a list's largest component then meet the members of other
+components. In a large group of copies nearly all members are in the largest component
+by then. What remains are members that no leader links and no filter rules out; each of
+those is held against its list. A pair that is in many lists is taken in the first of
+them only, which the members' earlier lists tell.
 
 Two sketches that hold the whole sets decide a pair exactly; texts are read only of
 sets that a set beyond its sketch may link with, and compared only where sketches say
@@ -240,7 +243,9 @@ def _fits(k: int, similarity: float) -> Column:
 def _lists(entries: DataFrame) -> DataFrame:
     """(v, node, n, place, members, leads): lists of two members at least, and whether a node leads its list."""
     one = entries.groupBy("v", "node").agg(F.min("n").alias("n"), F.min("place").alias("place"))
-    bids = [F.xxhash64("node", F.lit(i)) for i in range(LEADERS)]
+    hashes = [F.xxhash64("node", F.lit(i)) for i in range(LEADERS)]
+    # half of them are those with the fewest rarer values, more and more roughly
+    bids = [F.struct(F.shiftright("place", 2 * i).alias("p"), x.alias("h")) if 2 * i < LEADERS else x for i, x in enumerate(hashes)]
     best = one.groupBy("v").agg(F.count("*").alias("members"), *[F.min(x).alias(f"h{i}") for i, x in enumerate(bids)]).where("members > 1")
     leads = F.col("members") <= LEADERS
     for i, x in enumerate(bids):
@@ -264,11 +269,14 @@ def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _other_pairs(rows: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Pairs in open lists that are in different components so far, each once."""
-    few = rows.where("c <> main").select("v", F.col("node").alias("a"), F.col("n"), "place", F.col("c").alias("ca"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
-    all_ = rows.select("v", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("there"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("in_main"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("at"))
-    met = few.join(all_, ["v", "at"]).where((F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _fits(k, similarity))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Pairs in open lists that are in different components so far, each once: in the first open list that both are in."""
+    own = rows.groupBy("node", "n", "c").agg(F.sort_array(F.collect_list(F.struct("place", "v", "main", "blocks"))).alias("own"))
+    each = own.select("node", "n", "c", F.col("own.v").alias("vs"), F.posexplode("own").alias("i", "e"))
+    rows = each.select("node", "n", "c", "e.*", F.expr("slice(vs, 1, i)").alias("before"))
+    few = rows.where("c <> main").select("v", F.col("node").alias("a"), F.col("n"), "place", F.col("c").alias("ca"), F.col("before").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
+    all_ = rows.select("v", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("there"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("in_main"), F.col("before").alias("y"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("at"))
+    met = few.join(all_, ["v", "at"]).where((F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _fits(k, similarity) & ~F.arrays_overlap("x", "y"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 NO, YES, ASK = 0, 1, 2
